@@ -1 +1 @@
-"""PySpark-native engine for span-annotated datasets: preparation, retrieval and evaluation."""
+"""Column functions: text, identifiers, arrays and arithmetic."""

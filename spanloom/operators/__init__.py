@@ -1 +1 @@
-"""PySpark-native engine for span-annotated datasets: preparation, retrieval and evaluation."""
+"""Operators: DataFrame to DataFrame."""

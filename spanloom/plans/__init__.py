@@ -1 +1 @@
-"""PySpark-native engine for span-annotated datasets: preparation, retrieval and evaluation."""
+"""Queries over the driver's tables."""

@@ -1,6 +1,9 @@
-"""Queries over the driver's tables, and the same in SQL."""
+"""All queries with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import code, examples, labels, prep, retrieval, scores
+
+MODULES = (retrieval, prep, labels, examples, scores, code)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}

@@ -1 +1 @@
-"""PySpark-native engine for span-annotated datasets: preparation, retrieval and evaluation."""
+"""From Python source text to tokens, blocks, class hierarchies and contexts.  Pure Python, applied in Arrow batches."""
