@@ -232,13 +232,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of its component, for every row."""
-    marked = materialize(fingerprints(docs, id_col, text_col), "simhash")
+def _roots(marked: DataFrame) -> DataFrame:
+    """fp, root (the smallest fingerprint of its component) and least (the smallest doc_id) for each distinct fingerprint of ``marked``."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = materialize(rooted.select("fp", "root", "least"), "roots")
+    return materialize(rooted.select("fp", "root", "least"), "roots")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of its component, for every row."""
+    marked = materialize(fingerprints(docs, id_col, text_col), "simhash")
+    ids = _roots(marked)
     # only roots with several fingerprints need a second look; each fingerprint counts once, summed before the shuffle
     named = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     named = materialize(named, "components")
@@ -246,14 +251,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of rows with one id, the first by text stays.  Rows with a null id stay if no other of the component has one, one of them."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = rows.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col(id_col).alias("__kept"))
-    single = rows.join(repeated, F.col(id_col).eqNullSafe(F.col("__kept")), "left_anti")
-    first = rows.join(repeated, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("__n = 1").drop("__n")
-    return single.unionByName(first)
+    """One row of ``docs`` for each component: that with the smallest id (null after all others), of rows with one id the first by the MD5 of its text."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.col(text_col).cast("binary")).alias("digest"))
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([simhash(t) for t in texts_of(b.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], names=["doc_id", "digest", "fp"])
+
+    marked = materialize(map_arrow(keyed, run, "doc_id long, digest string, fp long"), "simhash")
+    # a row is known by id and text: the same in both is the same fingerprint, so at most one component has it
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    by = marked.groupBy("fp").agg(F.min(rank).alias("first")).join(_roots(marked).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = by.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    alike = marked.groupBy("doc_id", "digest").agg((F.count("*") > 1).alias("__alike"))
+    kept = materialize(chosen.join(alike, F.col("__id").eqNullSafe(F.col("doc_id")) & F.col("__digest").eqNullSafe(F.col("digest"))).select("__id", "__digest", "__alike"), "kept")
+    found = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.md5(F.col(text_col).cast("binary")).eqNullSafe(F.col("__digest")))
+    single = found.filter("NOT __alike")
+    # rows alike in id and text: any one of them
+    first = found.filter("__alike").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.lit(0)))).filter("__n = 1")
+    return single.select(docs.columns).unionByName(first.select(docs.columns))
 
 
 __all__ = ["components", "fingerprints", "links", "near_duplicates", "one_of_each", "simhash", "tile_links"]

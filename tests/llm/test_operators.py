@@ -184,6 +184,14 @@ def test_simhash(spark, rows):
     assert simhash.near_duplicates(table(spark, []).filter("false")).count() == 0
 
 
+def test_one_of_each_keeps_one_row_of_every_component(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (words(rng, 80) for _ in range(6))
+    odd = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (None, None, "s"), (5, c, "s"), (5, d, "s"), (6, d, "s"), (7, e, "s"), (7, e, "s"), (None, e, "s"), (9, f, "s"), (8, f, "s")]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each(table(spark, odd)).collect())
+    assert got == Counter([(None, a), (None, b), (None, None), (5, c), (5, d), (7, e), (8, f)])
+
+
 def test_simhash_large_buckets(spark):
     rng = random.Random(5)
     fps = []
