@@ -2,12 +2,14 @@
 
 The standard library's streaming parser gives events; block-level tags cut
 them into lines, and each line keeps its text, its number of tags and what it
-stands in.  A line's ratio is its characters for each tag.  The ratios of a
-page are smoothed with a Gaussian and split in two clusters (one-dimensional
-2-means); the upper cluster is content.  What the markup says goes before the
-ratios: lines in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are never content; where a page marks its
-article, the lines in it are.
+stands in.  A line's ratio is its characters for each tag.  What the markup
+says goes before the ratios: lines in menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments are never content.
+Over all other lines the ratios decide: their logarithms, level from ``FULL``
+characters a tag on and raised by ``BONUS`` in a marked article, are smoothed
+with a Gaussian and split in two clusters (one-dimensional 2-means).  The upper
+cluster is content; so is the lower if its mean is less than ``APART`` below,
+and a heading before a line of content.
 
 Cases: null and empty pages have empty text; markup may be cut off or left
 open anywhere; a page without any tag is one block; repeated rows give
@@ -28,8 +30,12 @@ from .common import map_arrow, texts_of
 
 #: Width of the Gaussian in lines, and the lines it reaches to either side.
 SIGMA, REACH = 1.0, 3
+#: Characters a tag of running text; what an article adds to the logarithm, and how far apart the means of two kinds of lines are.
+#: An article alone parts nothing, as BONUS < APART.
+FULL, BONUS, APART = 40.0, 1.0, 1.5
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never content.
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu title audio video".split())
@@ -42,7 +48,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects [text parts, tags, inside an article, dropped] for each line."""
+    """Collects [text parts, tags, inside an article, dropped, heading] for each line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -56,7 +62,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append([text, self.tags, self.articles > 0, self.drops > 0])
+                self.lines.append([text, self.tags, self.articles > 0, self.drops > 0, any(t in HEADINGS for t, _, _ in self.stack)])
                 self.tags = 0
             self.parts = []
 
@@ -131,17 +137,28 @@ def smooth(x: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarra
 
 
 def threshold(x: np.ndarray) -> float:
-    """Boundary between the two clusters of 2-means on a line; the least value if all are alike."""
-    low, high = float(x.min()), float(x.max())
-    if high - low < 1e-9:
-        return low
+    """Boundary between the two clusters of 2-means on a line; the least value if they aren't ``APART``."""
+    least = low = float(x.min())
+    high = float(x.max())
+    if high - low < APART:
+        return least
     for _ in range(50):
         cut = (low + high) / 2
         a, b = float(x[x < cut].mean()), float(x[x >= cut].mean())
         if (a, b) == (low, high):
             break
         low, high = a, b
-    return (low + high) / 2
+    return (low + high) / 2 if high - low >= APART else least
+
+
+def content(lines: list[list]) -> np.ndarray:
+    """Which of the lines that the markup leaves are content."""
+    ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines], np.float64)
+    scores = smooth(np.log1p(np.minimum(ratios, FULL)) + BONUS * np.array([x[2] for x in lines]))
+    keeps = scores >= threshold(scores)
+    for i in range(len(lines) - 2, -1, -1):
+        keeps[i] |= lines[i][4] and keeps[i + 1]
+    return keeps
 
 
 def main_text(html: str | None) -> str:
@@ -155,14 +172,10 @@ def main_text(html: str | None) -> str:
     page = Lines()
     page.feed(html)
     page.end()
-    if any(x[2] and not x[3] for x in page.lines):
-        return "\n".join(x[0] for x in page.lines if x[2] and not x[3])
     kept = [x for x in page.lines if not x[3]]
     if not kept:
         return ""
-    ratios = smooth(np.array([len(x[0]) / max(1, x[1]) for x in kept], np.float64))
-    least = threshold(ratios)
-    return "\n".join(x[0] for x, r in zip(kept, ratios, strict=True) if r >= least)
+    return "\n".join(x[0] for x, keeps in zip(kept, content(kept), strict=True) if keeps)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

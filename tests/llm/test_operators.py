@@ -300,6 +300,20 @@ def test_html():
     assert html_text.main_text("<nav>menu<article><p>open menu</p></article>") == "open menu"
 
 
+def test_html_ratios_decide_beside_an_article():
+    body = "<div>" + "".join(f"<p>Paragraph {i} " + "of the body of this page, with many words in it. " * 3 + "</p>" for i in range(6)) + "</div>"
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3><p>A short card {i}</p></article>" for i in range(5))
+    links = "".join(f"<div><a href=/{i}><b>l{i}</b></a></div>" for i in range(12))
+    for page in (cards + body, body + cards):
+        assert html_text.main_text(f"<body>{links}{page}{links}").count("Paragraph") == 6
+    assert "l3" not in html_text.main_text(f"<body>{links}{cards}{body}{links}")
+
+
+def test_html_alike_lines_are_not_split():
+    page = "".join("<p>" + "x" * 100 + "</p>" for _ in range(20)) + "<p>" + "y z " * 5000 + "</p>"
+    assert html_text.main_text(page).count("\n") == 20
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "u", "", 5), (1, "u", PAGE, 5)], "page_id long, url string, html string, text int")
     got = html_text.extract(df).collect()
