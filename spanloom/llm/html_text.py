@@ -9,7 +9,9 @@ Over all other lines the ratios decide: their logarithms, level from ``FULL``
 characters a tag on and raised by ``BONUS`` in a marked article, are smoothed
 with a Gaussian and split in two clusters (one-dimensional 2-means).  The upper
 cluster is content; so is the lower if its mean is less than ``APART`` below,
-and a heading before a line of content.
+a heading before a line of content, and up to ``BETWEEN`` lines between others or at the ends of an article.
+Names of classes and ids that may be a topic (discussion, legal, related) part
+nothing inside an article, and names of headings there nothing at all.
 
 Cases: null and empty pages have empty text; markup may be cut off or left
 open anywhere; a page without any tag is one block; repeated rows give
@@ -33,6 +35,8 @@ SIGMA, REACH = 1.0, 3
 #: Characters a tag of running text; what an article adds to the logarithm, and how far apart the means of two kinds of lines are.
 #: An article alone parts nothing, as BONUS < APART.
 FULL, BONUS, APART = 40.0, 1.0, 1.5
+#: Lines in a row that are kept between two lines of content.
+BETWEEN = 2
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -40,6 +44,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Never content.
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu title audio video".split())
 PAGE_PARTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|sign-up|login|search|sidebar|side-bar|rail|widget|menu|navbar|nav|navigation|breadcrumbs?|toolbar|masthead|site-header|page-header|top-bar|topbar|footer|foot|copyright|legal|share|sharing|social|related|recommend\w*|pagination|pager|skip-link|comments?|comment-\w+|disqus|discussion|replies|respond)(?:$|[\s_-])", re.I)
+#: Inside an article: a whole class or id, so that ``share-prices`` is a topic.
+ARTICLE_PARTS = re.compile(r"(?:^|\s)(?:(?:ads?|advert\w*|adsense|sponsor(?:ed)?|promo\w*|cookies?|newsletter|subscribe|signup|sign-up|sidebar|side-bar|widget|menu|navbar|nav|navigation|breadcrumbs?|toolbar|share|sharing|social|pagination|pager|comments?|disqus)(?:[_-](?:ads?|area|banner|bar|block|box|button|buttons|container|content|form|inner|item|items|link|links|list|menu|notice|section|slot|thread|unit|widget|wrapper|wrap|\d+))*|comment-\w+|(?:related|recommended)[_-](?:articles?|links?|posts?|stories)|skip-link)(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CONTENT_ROLES = frozenset("main article".split())
 #: An end tag isn't looked for beyond these.
@@ -88,7 +94,8 @@ class Lines(HTMLParser):
         article = (tag in ("article", "main") or role in CONTENT_ROLES or found.get("itemprop") == "articleBody") and not (named and PAGE_PARTS.search(named))
         drops = tag in DROPPED or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style") or "", re.I)) or (tag == "header" and not self.articles)
         if not drops and named and tag not in ("html", "body", "main", "p", "h1", "b", "i", "em", "strong", "a") and not article:
-            drops = bool(PAGE_PARTS.search(named))
+            parts = ARTICLE_PARTS if self.articles else PAGE_PARTS
+            drops = not (self.articles and tag in HEADINGS) and bool(parts.search(named))
         if article and not drops and self.drops and not any(t in ("aside", "form", "template", "noscript", "dialog") for t, d, _ in self.stack if d) and tag in ("article", "main") and not self.articles:
             # a menu or advert left open before the article begins
             self.pop_to(next(i for i, x in enumerate(self.stack) if x[1]))
@@ -156,8 +163,18 @@ def content(lines: list[list]) -> np.ndarray:
     ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines], np.float64)
     scores = smooth(np.log1p(np.minimum(ratios, FULL)) + BONUS * np.array([x[2] for x in lines]))
     keeps = scores >= threshold(scores)
-    for i in range(len(lines) - 2, -1, -1):
-        keeps[i] |= lines[i][4] and keeps[i + 1]
+    opens = keeps | np.array([x[4] for x in lines])
+    at = np.flatnonzero(opens)
+    for i, j in zip(at[:-1][::-1], at[1:][::-1], strict=True):
+        if keeps[j] and j - i <= BETWEEN + 1:
+            keeps[i:j] = True
+    # what begins or ends an article has content on one side only
+    inside = np.array([x[2] for x in lines])
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], keeps, [True]]).astype(np.int8)))
+    for i, j in zip(edges[::2], edges[1::2], strict=True):
+        beside = (i > 0 and inside[i - 1]) or (j < len(lines) and inside[j])
+        if j - i <= BETWEEN and beside and inside[i:j].all():
+            keeps[i:j] = True
     return keeps
 
 

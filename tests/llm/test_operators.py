@@ -314,6 +314,13 @@ def test_html_alike_lines_are_not_split():
     assert html_text.main_text(page).count("\n") == 20
 
 
+def test_html_topics_and_short_lines_stay():
+    text = "Some words of a real section of the article. " * 4
+    assert html_text.main_text(f"<article>{f'<p>{text}</p>' * 5}<p>Is so.</p><p>In.</p></article>").endswith("Is so.\nIn.")
+    page = f'<article><h1>T</h1><p>Yes.</p><p>{text}</p><section id="discussion"><h2 id="related-work">Related</h2><p>{text}</p></section><p>No.</p><div class="legal"><p>{text}</p></div><div class="share-buttons"><p>{text}</p></div><div class="comment-list"><p>{text}</p></div></article>'
+    assert html_text.main_text(page).split("\n") == ["T", "Yes.", text.strip(), "Related", text.strip(), "No.", text.strip()]
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "u", "", 5), (1, "u", PAGE, 5)], "page_id long, url string, html string, text int")
     got = html_text.extract(df).collect()
