@@ -79,8 +79,8 @@ _ALIKE = {
 }
 HOMOGLYPHS = {c: to for to, cs in _ALIKE.items() for c in cs}
 INVISIBLE = frozenset("­​‌‍‎‏⁠﻿")
-#: Characters of the Latin-1 and Latin Extended blocks are letters of their languages; what may be a disguise lies beyond, but for a few.
-ODD = re.compile("[­ıɑɡͰ-׿ᴀ-ᵿ​-‏‐-―․•⁠⁰-₟℀-↏−∙①-⒛　。︀-￯\U0001d400-\U0001d7ff]")
+#: Characters of the Latin-1 and Latin Extended blocks are letters of their languages; what may be a disguise lies beyond, but for those of the tables.
+ODD = re.compile("[" + re.escape("".join(sorted({*HOMOGLYPHS, *INVISIBLE} - {chr(i) for i in range(128)}))) + "­ıɑɡͰ-׿ᴀ-ᵿ​-‏‐-―․•⁠⁰-₟℀-↏−∙①-⒛　。︀-￯\U0001d400-\U0001d7ff]")
 
 _SPELLED = ("zero oh null nul zéro cero", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve")
 DIGITS = {w: str(i) for i, ws in enumerate(_SPELLED) for w in ws.split()}
@@ -150,7 +150,7 @@ def spelled_digits(s: Source) -> None:
 def at_and_dot(s: Source) -> None:
     for pattern, new in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")):
         s.rewrite([(*m.span(), new) for m in pattern.finditer(s.text)])
-    if "@" in s.text and s.changed:  # a bracketed at may be followed by a spelled dot
+    if "@" in s.text:  # an at, plain or once in brackets, may be followed by a spelled dot
         s.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in re.finditer(rf"@[A-Za-z0-9]+(?:[ ]{_DOT}[ ][A-Za-z0-9]+)+", s.text, re.I) for d in re.finditer(rf"[ ]{_DOT}[ ]", m[0], re.I)])
     if HINT_DOT.search(s.text):
         s.rewrite([(m.start() + d.start(), m.start() + d.end(), "@" if d[1] else ".") for m in SPELLED_AT.finditer(s.text) for d in SPELLED_WORD.finditer(m[0])])

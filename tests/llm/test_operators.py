@@ -271,6 +271,15 @@ def test_disguised_pii():
         assert found(clean) == {}
 
 
+def test_every_listed_disguise_is_looked_for():
+    assert all(pii.ODD.fullmatch(c) for c in [*pii.HOMOGLYPHS, *pii.INVISIBLE] if not c.isascii())
+    for space in "\u00a0\u2002\u2003\u2007\u2009\u202f":
+        assert found(f"+49{space}30{space}1234567") == {"phone": [f"+49{space}30{space}1234567"]}
+    assert found("jo@example\u00b7org") == {"email": ["jo@example\u00b7org"]}
+    for other in ("", " one two three four", " \uff21"):
+        assert found("jo@example dot org" + other) == {"email": ["jo@example dot org"]}
+
+
 def test_pii_tables(spark, rows):
     rows = [*rows, (400, "a@b.co 1.2.3.4 +1 (555) 555-0000", "s0")]
     got = pii.find(table(spark, rows))
