@@ -88,13 +88,24 @@ _D = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SEP = r"(?:[ ]?[,-][ ]?|[ ])"
 _DOT = r"(?:dot|punkt|point|punto)"
 _TOKEN = rf"(?:{_D}|{_DOT}|[0-9])"
-NUMBER = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ]?)?(?:{_D})(?:{_SEP}{_TOKEN}){{{RUN - 1},}}+(?!\w)", re.I)
+NUMBER = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ]?)?(?:{_D})(?!\w)(?:{_SEP}{_TOKEN}(?!\w)){{{RUN - 1},}}+", re.I)
 PIECE = re.compile(rf"{_D}|{_DOT}|plus|[0-9+]", re.I)
 _AT = r"(?:at|arroba|chez)"
 BRACKET_AT = re.compile(rf"[ ]?[(\[{{<][ ]?(?:{_AT}|@)[ ]?[)\]}}>][ ]?", re.I)
 BRACKET_DOT = re.compile(rf"[ ]?[(\[{{<][ ]?(?:{_DOT}|\.)[ ]?[)\]}}>][ ]?", re.I)
-SPELLED_AT = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9_%+-]++(?:(?:[ ]{_DOT}[ ]|\.)[A-Za-z0-9_%+-]++){{0,4}}+(?:[ ]|_|-){_AT}(?:[ ]|_|-)[A-Za-z0-9]++(?:(?:[ ]|_|-){_DOT}(?:[ ]|_|-)[A-Za-z0-9]++){{1,4}}+", re.I)
-SPELLED_WORD = re.compile(rf"(?:[ ]|_|-)(?:({_AT})|{_DOT})(?:[ ]|_|-)", re.I)
+_LABEL = rf"[A-Za-z0-9]++(?:-++(?!{_DOT}[ _-])[A-Za-z0-9]++)*+"
+_HOST = rf"{_LABEL}(?:[ _-]{_DOT}[ _-]{_LABEL}){{1,4}}+"
+
+
+def _local(char: str) -> str:
+    return rf"(?<![A-Za-z0-9_%+-]){char}++(?:(?:[ ]{_DOT}[ ]|\.){char}++){{0,4}}+"
+
+
+# first a local part that may hold "-at-" itself, then one that ends before it
+SPELLED_AT = re.compile(rf"(?:{_local('[A-Za-z0-9_%+-]')}(?P<at>[ ]{_AT}[ _-])|{_local(f'(?:(?![_-]{_AT}[ _-])[A-Za-z0-9_%+-])')}(?P<sep>[_-]{_AT}[ _-])){_HOST}", re.I)
+SPELLED_DOT = re.compile(rf"[ ]{_DOT}[ ]", re.I)
+HOST_DOT = re.compile(rf"[ _-]{_DOT}[ _-]", re.I)
+AT_HOST = re.compile(rf"@{_LABEL}(?:(?:[ _-]{_DOT}[ _-]|\.){_LABEL})++", re.I)
 HINT_DOT = re.compile(rf"{_DOT}|[(\[{{<][ ]?\.", re.I)
 
 
@@ -151,9 +162,16 @@ def at_and_dot(s: Source) -> None:
     for pattern, new in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")):
         s.rewrite([(*m.span(), new) for m in pattern.finditer(s.text)])
     if "@" in s.text:  # an at, plain or once in brackets, may be followed by a spelled dot
-        s.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in re.finditer(rf"@[A-Za-z0-9]+(?:[ ]{_DOT}[ ][A-Za-z0-9]+)+", s.text, re.I) for d in re.finditer(rf"[ ]{_DOT}[ ]", m[0], re.I)])
+        s.rewrite([(*d.span(), ".") for m in AT_HOST.finditer(s.text) for d in HOST_DOT.finditer(s.text, *m.span())])
     if HINT_DOT.search(s.text):
-        s.rewrite([(m.start() + d.start(), m.start() + d.end(), "@" if d[1] else ".") for m in SPELLED_AT.finditer(s.text) for d in SPELLED_WORD.finditer(m[0])])
+        edits = []
+        for m in SPELLED_AT.finditer(s.text):
+            at, end = m.span("at" if m["at"] else "sep")
+            edits += [(*d.span(), ".") for d in SPELLED_DOT.finditer(s.text, m.start(), at)]
+            edits.append((at, end, "@"))
+            edits += [(*d.span(), ".") for d in HOST_DOT.finditer(s.text, end, m.end())]
+        s.rewrite(edits)
+
 
 
 def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:

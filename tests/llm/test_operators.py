@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,6 +281,20 @@ def test_every_listed_disguise_is_looked_for():
         assert found("jo@example dot org" + other) == {"email": ["jo@example dot org"]}
 
 
+def test_disguises_beside_words_and_separators():
+    number = "plus four nine three zero one two three four five six"
+    for after in (" until noon", " undone", " oneself", " dots"):
+        assert found(f"call {number}{after}") == {"phone": [number]}
+    for address in ("jo-at-example-dot-org", "jo_at_example_dot_org", "jo at my-site dot org", "jo (at) my-site dot org", "jo-ann at my-site dot example dot org", "jo dot doe at example dot org", "jo-at-work at example dot org", "jo (at) example_dot_org"):
+        assert found(f"write to {address}, now") == {"email": [address]}
+    for clean in ("a state-of-the-art thing", "look-at-me now", "one-at-a-time dots"):
+        assert found(clean) == {}
+    started = time.perf_counter()
+    for piece in ("a-", "a_at_", "a dot ", "a.", "one ", "a at b ", "@a dot "):
+        pii.spans(piece * 40_000 + "dot")
+    assert time.perf_counter() - started < 30
+
+
 def test_pii_tables(spark, rows):
     rows = [*rows, (400, "a@b.co 1.2.3.4 +1 (555) 555-0000", "s0")]
     got = pii.find(table(spark, rows))
