@@ -10,6 +10,7 @@ from . import html_text, mixing, nbsvm, packing, pii, sharding, simhash, syncmer
 from .common import materialize, read_table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+MIXTURE = {"evenness": 0.5, "most_passes": 2.0}
 
 
 def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,9 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pass of the mixture over ``documents``: sources at 0.9 of the largest entropy, or at two passes over one."""
+    """Every pass of the mixture over ``documents``: half of what the entropy of the sources lacks to the largest, or two passes over one."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.count_tokens("text").alias("n_tokens"))
-    mixed = mixing.mix(materialize(docs, "mix"), evenness=0.9, most_passes=2.0)
+    mixed = mixing.mix(materialize(docs, "mix"), **MIXTURE)
     return mixed.select("doc_id", "source", "n_tokens", F.col("pass").cast("int").alias("pass"), F.col("block").cast("int").alias("block"), "weight", "at")
 
 

@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanloom.llm import html_text, mixing, nbsvm, packing, pii, sharding, simhash, syncmers, topk, toxicity
+from spanloom.llm import html_text, mixing, nbsvm, packing, pii, queries, sharding, simhash, syncmers, topk, toxicity
+from spanloom.llm.common import read_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, size int, unit int, bucket int"
 
@@ -179,9 +180,6 @@ def test_simhash(spark, rows):
     want = Counter(zip([r[0] for r in small], [f"{f:016x}" for f in fps], naive_components([r[0] for r in small], fps), strict=True))
     got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(table(spark, small)).collect())
     assert got == want
-    kept = simhash.one_of_each(table(spark, small))
-    assert kept.columns == table(spark, small).columns
-    assert sorted(r[0] for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted({c for _, _, c in want if c is not None})
     assert simhash.near_duplicates(table(spark, []).filter("false")).count() == 0
 
 
@@ -193,7 +191,7 @@ def test_one_of_each_keeps_one_row_of_every_component(spark):
     assert got == Counter([(None, a), (None, b), (None, None), (5, c), (5, d), (7, e), (8, f)])
 
 
-def test_simhash_large_buckets(spark):
+def test_simhash_large_buckets(spark, monkeypatch):
     rng = random.Random(5)
     fps = []
     for _ in range(6):
@@ -202,11 +200,56 @@ def test_simhash_large_buckets(spark):
             fps.append(centre ^ sum(1 << b for b in rng.sample(range(20), rng.randrange(5))))
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
-    edges = simhash.links(nodes, tile=16)
-    found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    nodes = spark.createDataFrame([(f, f) for f in signed], "key long, f0 long")
     want = naive_components(signed, fps)
-    assert [found.get(f, f) for f in signed] == want
+    for unit, leaders in ((16, 16), (16, 2), (1 << 20, 4)):  # many buckets, most of them large; one bucket
+        monkeypatch.setattr(simhash, "LEADERS", leaders)
+        edges = simhash.links(nodes, simhash.exact_tables(len(fps), 3, unit=unit), tile=16)
+        found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+        assert [found.get(f, f) for f in signed] == want
+
+
+def test_tiles_too_far_apart_are_skipped():
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 63, 3000, np.uint64))[:, None]
+    fps = fps[np.argsort(np.bitwise_count(fps[:, 0]))]
+    skipped = []
+    got = {(int(i), int(j)) for x, y in simhash.tile_links(fps, radius=15, side=64, skipped=skipped) for i, j in zip(x, y, strict=True)}
+    want = {(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[:, 0] ^ fps[i, 0]) <= 15).tolist() if i < j}
+    assert got == want and len(want) > 20
+    skipped = []
+    list(simhash.tile_links(fps, radius=3, side=64, skipped=skipped))
+    assert 0.3 < sum(skipped) / len(skipped) < 1
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    """Of pairs with a Jaccard similarity of 0.8 or more nearly all link, of those under 0.5 none."""
+    rng = random.Random(12)
+    out, alike = [], []
+    for i in range(400):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        v = list(w)
+        for _ in range(rng.randrange(1, 12)):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(5000)}"
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, v))
+        alike.append(len(a & b) / len(a | b))
+        out += [(i, " ".join(w), "s"), (1000 + i, " ".join(v), "s")]
+    kept = {r[0] for r in simhash.one_of_each(table(spark, out)).select("doc_id").collect()}
+    gone = [1000 + i not in kept for i in range(400)]
+    assert all(i in kept for i in range(400))
+    near = [g for g, j in zip(gone, alike, strict=True) if j >= 0.8]
+    assert len(near) > 100 and sum(near) / len(near) > 0.95
+    assert not any(g for g, j in zip(gone, alike, strict=True) if j < 0.5)
+
+
+def test_sampled_tables_meet_their_share():
+    rng = np.random.default_rng(9)
+    tables = simhash.sampled_tables(1 << 22, 0.8, 4)
+    differ = rng.random((4000, 256)) < simhash.difference(0.8)
+    met = np.zeros(4000, bool)
+    for bits in tables:
+        met |= ~differ[:, bits].any(1)
+    assert met.mean() > 0.98
 
 
 def test_topk(spark):
@@ -351,34 +394,81 @@ def test_html_table(spark):
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 42), (1, 42), (2, 0)]
 
 
+def exponent(tokens, *limits):
+    return mixing.exponent_for(mixing.moments_of(tokens), len(tokens), min(tokens), max(tokens), *limits)
+
+
+def naive_entropy(tokens, x):
+    return -sum(w * np.log(w) for w in mixing.weights_of(tokens, x))
+
+
 def test_mixing_exponent():
     t = [1000.0, 100.0, 10.0]
-    x = mixing.exponent_for(t, 0.9, 1e9)
-    assert abs(mixing.entropy(mixing.weights_of(t, x)) / np.log(3) - 0.9) < 1e-9
-    y = mixing.exponent_for(t, 0.9, 3.0)
-    assert abs(mixing.repetition(t, mixing.weights_of(t, y)) - 3.0) < 1e-6
-    assert mixing.exponent_for([5.0], 0.9, 2.0) == 1.0 and mixing.exponent_for([5.0, 5.0], 0.9, 2.0) == 1.0
+    target = naive_entropy(t, 1) + 0.7 * (np.log(3) - naive_entropy(t, 1))
+    x = exponent(t, 0.7, 1e9)
+    assert 0 < x < 1 and abs(naive_entropy(t, x) - target) < 1e-9
+    assert abs(mixing.entropy(mixing.moments_of(t), x) - target) < 1e-9
+    y = exponent(t, 0.7, 3.0)
+    w = mixing.weights_of(t, y)
+    passes = [a / b for a, b in zip(w, t, strict=True)]
+    assert y > x and abs(max(passes) / min(passes) - 3.0) < 1e-6
+    assert exponent([5.0], 0.9, 2.0) == 1.0 and exponent([5.0, 5.0], 0.9, 2.0) == 1.0 and exponent(t, 0.0, 9.0) == 1.0
+
+
+def test_the_query_s_own_limits_act(spark):
+    """On the query's table the bisection ends below 1, and some documents come twice."""
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "source", mixing.count_tokens("text").alias("n_tokens"))
+    plans, _, x = mixing.plan(docs, **queries.MIXTURE)
+    sizes = [r["tokens"] for r in plans.collect()]
+    assert 0 < x < 1 and abs(x - exponent(sizes, *queries.MIXTURE.values())) < 1e-9
+    got = queries.op3_mixture(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in docs.collect()} and max(r["pass"] for r in got) == 1
+
+
+def naive_mixture(rows, evenness, most_passes, block_tokens, seed, hashes):
+    """Brute force on the driver; ``hashes`` gives XXH64 as Spark has it."""
+    sources = sorted({s for _, s, _ in rows}, key=str)
+    tokens = [sum(n for _, s, n in rows if s == x) for x in sources]
+    x = exponent(tokens, evenness, most_passes)
+    weights = mixing.weights_of(tokens, x)
+    whole = max(tokens) / weights[tokens.index(max(tokens))]
+    out = {}
+    for s, t, w in zip(sources, tokens, weights, strict=True):
+        budget, blocks = max(t, round(w * whole)), -(-t // block_tokens)
+        for p in range(-(-budget // t)):
+            mine = [(i, n, hashes[i, p][0] % blocks) for i, z, n in rows if z == s]
+            order = sorted({b for _, _, b in mine}, key=lambda b: (hashes[b, p, "block"], b))
+            at = p * t
+            for b in order:
+                for i, n, _ in sorted((m for m in mine if m[2] == b), key=lambda m: (hashes[m[0], p][1], m[0])):
+                    if at < budget:
+                        out[i, p] = (b, at / budget)
+                    at += n
+    return out
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     rng = random.Random(4)
-    rows = [(i, "a" if i < 600 else "b" if i < 800 else None, rng.randrange(1, 60)) for i in range(1000)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").repartition(4)
-    got = mixing.mix(df, 0.99, 2.5, block_tokens=500).collect()
-    total, want = Counter(), {r[0]: r for r in mixing.plan(df, 0.99, 2.5)}
-    times = Counter((r["doc_id"], r["pass"]) for r in got)
-    assert max(times.values()) == 1
-    for r in got:
-        total[r["source"]] += r["n_tokens"]
-        assert 0 <= r["at"] < 1
-    for s, t, w, budget, _ in want.values():
-        assert budget <= total[s] < budget + 60
-        assert sum(1 for r in got if r["source"] == s and r["pass"] == 0) == sum(1 for x in rows if x[1] == s)
-        half = sum(r["n_tokens"] for r in got if r["source"] == s and r["at"] < 0.5)
-        assert abs(half / budget - 0.5) < 0.05
-    again = {(r["doc_id"], r["pass"], r["at"]) for r in mixing.mix(df.repartition(2), 0.99, 2.5, block_tokens=500).collect()}
-    assert again == {(r["doc_id"], r["pass"], r["at"]) for r in got}
+    rows = [(i, "a" if i < 300 else "b" if i < 400 else None, rng.randrange(1, 60)) for i in range(500)]
+    df = spark.createDataFrame([(*r, "x", 0.5, 7) for r in rows], "doc_id long, source string, n_tokens long, row string, weight double, src int").repartition(4)
+    hashes = {}
+    seeds = spark.createDataFrame([(i, p) for i in range(500) for p in range(3)], "doc_id long, p int").select("doc_id", "p", F.xxhash64(F.lit(17), F.struct("doc_id")).alias("a"), F.xxhash64(F.lit(17), "p", F.struct("doc_id")).alias("b"), F.xxhash64(F.lit(17), "p", F.col("doc_id").cast("int")).alias("c"))
+    for r in seeds.collect():
+        hashes[r["doc_id"], r["p"]] = (r["a"], r["b"])
+        hashes[r["doc_id"], r["p"], "block"] = r["c"]
+    want = naive_mixture(rows, 0.8, 2.5, 500, 17, hashes)
+    for few in (100_000, 1):  # weights from the driver, from Spark
+        monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+        got = mixing.mix(df, 0.8, 2.5, block_tokens=500)
+        assert got.columns == ["doc_id", "source", "n_tokens", "row", "src", "pass", "block", "at", "weight"]
+        got = got.collect()
+        assert {(r["doc_id"], r["pass"]): (r["block"], r["at"]) for r in got} == want and len(got) == len(want) > 500
+    for s in ("a", "b", None):
+        at = sorted((r["at"], r["n_tokens"]) for r in got if r["source"] == s)
+        assert abs(sum(n for a, n in at if a < 0.5) / sum(n for _, n in at) - 0.5) < 0.05
     assert mixing.mix(df.filter("false"), 0.9, 2.0).count() == 0
+    twice = df.filter("doc_id < 5").union(df.filter("doc_id < 5"))
+    assert mixing.mix(twice, 0.5, 2.0).count() == 10
 
 
 def labelled(spark, bad):
