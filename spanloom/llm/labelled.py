@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, materialize
 
 
 def sample(labels: DataFrame, label: str, most: dict[int, int], folds: int, held_out: int, id_col: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
@@ -20,6 +20,22 @@ def sample(labels: DataFrame, label: str, most: dict[int, int], folds: int, held
     return parts[0].unionByName(parts[1]), {0: counts.get(0, 0), 1: counts.get(1, 0)}
 
 
+def texts(docs: DataFrame, chosen: DataFrame, longest: int, total: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, y, text) of the chosen ids, and the table to discard after use: texts of at most ``longest`` bytes, one for each id (of several the first by MD5), in the order of the ids' hashes until ``total`` bytes are reached."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.octet_length("text") <= longest)
+    found = d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+    found = materialize(found, "labelled")
+    sizes = found.select(F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).collect()  # no more than chosen
+    ids, used = [], 0
+    for _, i, n in sorted(tuple(r) for r in sizes):
+        used += n
+        if used > total:
+            break
+        ids.append((i,))
+    few = docs.sparkSession.createDataFrame(ids, "doc_id long")
+    return found.join(F.broadcast(few), "doc_id").select("doc_id", "y", "text"), found
+
+
 def balance(y: np.ndarray, counts: dict[int, int]) -> np.ndarray:
     """Weights that give the sample's classes the shares they have among all labels; mean 1."""
     w = np.ones(len(y))

@@ -6,13 +6,14 @@ class 1 have it, over rows of class 0); rows are brought to length one; a
 linear hinge-loss model is fitted by dual coordinate descent.  A logistic
 calibration on rows that the model hasn't seen turns margins into scores.
 
-The fit uses at most ``MOST`` labelled rows of each class, by hash of the id;
-scores read whole texts.
+The fit uses at most ``MOST`` labelled rows of each class, by hash of the id,
+of at most ``LONGEST`` bytes each and ``FIT_BYTES`` together; scores read whole
+texts.
 
 Cases: null and empty texts have no feature and get the score of a margin of
 the bias alone; with too few labels of a class the score is the share of class
-1 everywhere; repeated rows get equal scores; an empty table gives no row;
-other columns aren't read.
+1 everywhere; repeated rows get equal scores, and of an id's texts the fit sees one; an empty
+table gives no row; other columns aren't read by ``scores`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import crc_mod, map_arrow, texts_of
+from .common import crc_mod, discard, map_arrow, texts_of
 
 #: Labelled rows of each class to learn from at most.
 MOST = {0: 2000, 1: 2500}
+LONGEST, FIT_BYTES = 200_000, 48 << 20
 #: Bits of the feature space, lengths of the byte n-grams, bytes hashed at once.
 BITS, GRAMS, CHUNK = 18, (2, 3, 4), 1 << 20
 #: Smoothing of the counts, cost of the hinge loss, passes.
@@ -92,7 +94,7 @@ def margins(rows: list[np.ndarray], weights: np.ndarray, squares: np.ndarray, bi
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The model: weights by feature, squares of the ratios, bias and calibration, or a constant score."""
     chosen, counts = labelled.sample(labels, label, MOST, folds, held_out, id_col)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    d, used = labelled.texts(docs, chosen, LONGEST, FIT_BYTES, id_col, text_col)
 
     def run(batches):
         features = Features()
@@ -100,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, l
             found = [features.of(t) for t in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in map_arrow(d, run, "doc_id long, y int, x binary").limit(2 * sum(MOST.values())).collect())
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in map_arrow(d, run, "doc_id long, y int, x binary").collect())
+    discard(used)
     y = np.array([r[1] for r in rows], np.int64)
     x = [np.frombuffer(r[2], np.int32) for r in rows]
     part = np.arange(len(y)) % 4 != 0  # three quarters fit the model, one the calibration
@@ -133,7 +136,7 @@ def scores(docs: DataFrame, model: dict, folds: int = 3, held_out: int = 1, id_c
 
 
 def keep(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the model doesn't reject (score of one half or more)."""
+    """The rows of ``docs``, all columns, that the model doesn't reject (score of one half or more).  A constant score, for lack of labels, rejects none."""
     shared, names, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.columns.index(text_col)
 
     def run(batches):

@@ -1,24 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic
-text laid before the ordinary one.  A text is cut into windows of ``WINDOW``
-words; a window's gain is the bytes that the toxic dictionary saves over the
-ordinary one.  As both hold the same ordinary part, a window without toxic
-strings costs the same with either.  Largest and mean gain, and how many
-windows gain and how much, go through a logistic calibration fitted on labelled
-rows that the dictionaries haven't seen; a score of one half is the threshold.
-
-A toxic row is mostly ordinary words.  So the toxic dictionary is trained on
-the words that hold byte 5-grams which toxic rows have much more often, each
-context (a word with its neighbours) counted once, so that copies don't count.
+Two zstandard dictionaries are trained: one on windows of ordinary text, one on
+toxic text.  A text is cut into windows of ``WINDOW`` words; a window's gain is
+the bytes that the toxic dictionary, laid before the ordinary one, saves over
+the ordinary one alone, so a window without toxic strings costs the same with
+either.  Largest gains, mean gain, and how many windows gain and how much, go
+through a logistic calibration fitted on labelled rows that the dictionaries
+haven't seen; a score of one half is the threshold.
+
+A toxic row is mostly ordinary words, and a dictionary trained on all of it is
+an ordinary one (the README has figures).  So the toxic dictionary is trained
+on those words of toxic rows that hold byte 5-grams which toxic rows have much
+more often, each context (a word with its neighbours) counted once, so that
+copies don't count.
 
 The fit uses at most ``TOXIC`` and ``ORDINARY`` labelled rows, by hash of the
-id, of at most ``LONGEST`` bytes each; scores read whole texts.
+id, of at most ``LONGEST`` bytes each and ``FIT_BYTES`` together; of these the
+ordinary dictionary takes ``WINDOWS`` windows at most, the toxic one ``REPEATS``
+of each word.  Scores read whole texts.
 
 Cases: null and empty texts have no gain and get the score that follows; with
 no label of a class the score is the share of toxic labels everywhere;
-repeated rows get equal scores; an empty table gives no row; other columns
-aren't read.
+repeated rows get equal scores, and of an id's texts the fit sees one; words
+beyond ``WORD_BYTES`` are cut, so a window has a bound; an empty table gives no
+row; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -33,15 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import crc_mod, map_arrow, texts_of
+from .common import crc_mod, discard, map_arrow, texts_of
 
 #: Labelled rows of each class to learn from at most, and the bytes of the longest used.
-TOXIC, ORDINARY, LONGEST = 2000, 4000, 200_000
-#: Words of a window; bytes of the dictionaries; level and shortest match of the compressor.
-WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL, MATCH = 32, 4096, 16_384, 8, 4
+TOXIC, ORDINARY, LONGEST, FIT_BYTES = 2000, 4000, 200_000, 64 << 20
+#: Windows of ordinary text that train its dictionary, their words, and repeats of a word that train the toxic one.
+WINDOWS, TRAINED, REPEATS = 4000, 12, 50
+#: Words of a window, bytes of a word; bytes of the dictionaries; level, shortest match and table sizes of the compressor.
+WINDOW, WORD_BYTES, TOXIC_BYTES, ORDINARY_BYTES, LEVEL, MATCH, LOG = 8, 1024, 4096, 16_384, 12, 4, 17
+#: Gain of a window that counts as strong; largest that is told apart.
+STRONG, TOP = 2, 12
 #: Length of the grams; how often, and how many times as often, a toxic gram must occur.
 GRAM, LEAST, RATIO = 5, 8, 8.0
-_REPEATS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])  # ends the entropy tables of a trained dictionary
+_TABLES_END = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])  # ends the entropy tables of a trained dictionary
 
 
 def words(text: str) -> list[bytes]:
@@ -51,6 +60,8 @@ def words(text: str) -> list[bytes]:
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
     """Runs of words with a space at both ends, and one of no word for a text without any."""
     w = words(text)
+    if max(map(len, w), default=0) > WORD_BYTES:
+        w = [x[i : i + WORD_BYTES] for x in w for i in range(0, len(x), WORD_BYTES)]
     return [b" " + b" ".join(w[i : i + size]) + b" " for i in range(0, len(w), size)] or [b""]
 
 
@@ -98,8 +109,8 @@ def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         whole = zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
-    at = whole.find(_REPEATS)
-    return whole[at + len(_REPEATS) :] if at >= 0 else whole
+    at = whole.find(_TABLES_END)
+    return whole[at + len(_TABLES_END) :] if at >= 0 else whole
 
 
 class Distance:
@@ -111,7 +122,7 @@ class Distance:
     @staticmethod
     def _compressor(content: bytes):
         found = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW * 8, dict_size=len(content), min_match=MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=1024, dict_size=len(content), min_match=MATCH, window_log=LOG, hash_log=LOG, chain_log=LOG, write_content_size=False, write_checksum=False, write_dict_id=False)
         found.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=found, compression_params=how)
 
@@ -127,15 +138,16 @@ class Distance:
                     known.clear()
             gains.append(g)
         d = np.array(gains, np.float64)
-        strong = d[d >= 3]
-        return float(min(d.max(), 30)), float(np.clip(d.mean(), -5, 10)), len(strong) / math.sqrt(len(d)), math.log1p(float(strong.sum())), math.log1p(len(d))
+        strong = d[d >= STRONG]
+        return float(min(d.max(), TOP)), float(min(np.sort(d)[-2:].mean(), TOP)), float(np.clip(d.mean(), -5, 10)), len(strong) / math.sqrt(len(d)), math.log1p(float(strong.sum())), math.log1p(len(d))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The model: contents of the dictionaries and the calibration, or a constant score."""
     chosen, counts = labelled.sample(labels, label, {1: TOXIC, 0: ORDINARY}, folds, held_out, id_col)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = sorted((r[0], r[1], r[2]) for r in d.join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= LONGEST).select("doc_id", "text", "y").limit(2 * (TOXIC + ORDINARY)).collect())
+    d, used = labelled.texts(docs, chosen, LONGEST, FIT_BYTES, id_col, text_col)
+    rows = sorted((r[0], r[2], r[1]) for r in d.collect())
+    discard(used)
     constant = {"constant": labelled.prior(counts)}
     texts, y = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
     if min(int((y == 0).sum()), int((y == 1).sum())) < 4:
@@ -148,11 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
     toxic: list[bytes] = []
     for w, n in sorted(Counter(w for t, p, c in zip(texts, part, y, strict=True) if p and c for w in words(t)).items()):
         if not evidence.keys().isdisjoint(_grams(w)):
-            toxic += [b" " + w + b" "] * min(n, 50)
+            toxic += [b" " + w + b" "] * min(n, REPEATS)
     if not toxic:
         return constant
-    ordinary = [w for t, p, c in zip(texts, part, y, strict=True) if p and not c for w in windows(t, 12)]
-    ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))[:4000]]
+    ordinary = [w for t, p, c in zip(texts, part, y, strict=True) if p and not c for w in windows(t, TRAINED)]
+    ordinary = [ordinary[i] for i in rng.permutation(len(ordinary))[:WINDOWS]]
     model = {"toxic": _trained([toxic[i] for i in rng.permutation(len(toxic))], TOXIC_BYTES, 16, 6), "ordinary": _trained(ordinary, ORDINARY_BYTES, 64, 8)}
     distance = Distance(model["toxic"], model["ordinary"])
     x = np.array([distance.features(t) for t, p in zip(texts, part, strict=True) if not p])
