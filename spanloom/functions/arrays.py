@@ -11,13 +11,13 @@ B, I, O, F_, PAD = 0, 1, 2, 3, 4  # noqa: E741
 def first_separator(labels: Column) -> Column:
     """Index (0-based) of the first 4 that isn't followed by a 4; null without one.  The last place has no successor and doesn't count."""
     at = F.array_position(F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x, i: (x == PAD) & (F.get(labels, i + 1) != PAD)), True)
-    return F.when(at > 0, (at - 1).cast("int"))
+    return F.nullif(at, F.lit(0)).cast("int") - 1
 
 
 def segment_ids(tokens: Column, separator: Column) -> Column:
     """0 up to the first separator, itself included, then 1."""
-    at = F.array_position(tokens, separator)
-    return F.transform(tokens, lambda _, i: F.when((at > 0) & (i >= at), 1).otherwise(0))
+    zeros = F.coalesce(F.nullif(F.array_position(tokens, separator).cast("int"), F.lit(0)), F.size(tokens))
+    return F.concat(F.array_repeat(F.lit(0), zeros), F.array_repeat(F.lit(1), F.size(tokens) - zeros))
 
 
 def fitted(values: Column, size: int, fill: Column) -> Column:
@@ -25,6 +25,17 @@ def fitted(values: Column, size: int, fill: Column) -> Column:
     return F.slice(F.concat(values, F.array_repeat(fill, size)), 1, size)
 
 
+def n_windows(values: Column, prefix: Column, width: int) -> Column:
+    """How many chunks ``windows`` gives."""
+    return F.when(F.size(values) < width, 1).otherwise(F.ceil((F.size(values) - prefix) / (F.lit(width) - prefix))).cast("int")
+
+
+def window(values: Column, number: Column, prefix: Column, width: int) -> Column:
+    """The chunk ``number`` (from 0) of ``windows``, for rows that hold one each."""
+    body = F.lit(width) - prefix
+    return F.when(F.size(values) < width, values).otherwise(F.concat(F.slice(values, F.lit(1), prefix), F.slice(values, prefix + number * body + 1, body)))
+
+
 def windows(values: Column, prefix: Column, width: int) -> Column:
     """Chunks of at most ``width``, each led by the first ``prefix`` elements; a shorter array is its own chunk.  They overlap in the prefix alone."""
     body = F.lit(width) - prefix
@@ -46,11 +57,12 @@ def joined(blocks: Column, separator: Column) -> Column:
 
 def spans(labels: Column) -> Column:
     """Runs that open at 0 or 3 and go on over 1s: array of struct<tag, first, last>, 0-based and inclusive.  Stray 1s open nothing."""
-    opens = F.filter(F.transform(labels, lambda x, i: F.struct(x.cast("int").alias("tag"), i.alias("at"))), lambda s: s["tag"].isin(B, F_))
-    breaks = F.filter(F.transform(labels, lambda x, i: F.struct(x.cast("int").alias("tag"), i.alias("at"))), lambda s: s["tag"] != I)
-    n = F.size(labels)
-    last = lambda s: F.coalesce(F.array_min(F.transform(F.filter(breaks, lambda b: b["at"] > s["at"]), lambda b: b["at"])), n) - 1
-    return F.transform(opens, lambda s: F.struct(s["tag"].alias("tag"), s["at"].alias("first"), last(s).cast("int").alias("last")))
+    marked = F.transform(labels, lambda x, i: F.struct(x.cast("int").alias("tag"), i.alias("at")))
+    breaks = F.filter(marked, lambda s: s["tag"] != I)
+    # a run ends before the next break, which is the next element: one pass
+    ends = F.concat(F.transform(F.slice(breaks, F.lit(2), F.greatest(F.size(labels), F.lit(1))), lambda s: s["at"]), F.array(F.size(labels)))
+    runs = F.zip_with(breaks, ends, lambda s, e: F.struct(s["tag"].alias("tag"), s["at"].alias("first"), (e - 1).cast("int").alias("last")))
+    return F.filter(runs, lambda s: s["tag"].isin(B, F_))
 
 
 def of_kind(found: Column, kind: str) -> Column:

@@ -19,8 +19,9 @@ def choose(n: int, k: int) -> int:
 
 
 def expected_best(scores: Column, n: int, k: int) -> Column:
-    """Mean over all k-subsets of n scores of their largest; missing scores count as 0."""
-    padded = F.slice(F.array_sort(F.concat(scores, F.array_repeat(F.lit(0.0), F.greatest(F.lit(n) - F.size(scores), F.lit(0))))), 1, n)
+    """Mean over all k-subsets of n scores of their largest; missing scores count as 0, more than n fail the query."""
+    checked = F.when(F.size(scores) <= n, scores).otherwise(F.raise_error(F.lit(f"more than {n} scores")).cast("array<double>"))
+    padded = F.array_sort(F.concat(checked, F.array_repeat(F.lit(0.0), F.greatest(F.lit(n) - F.size(scores), F.lit(0)))))
     weights = F.array(*(F.lit(choose(i, k - 1) / choose(n, k)) for i in range(n)))
     return F.aggregate(F.zip_with(padded, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
 

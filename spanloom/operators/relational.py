@@ -5,6 +5,7 @@ Which side of a join is broadcast is left to Spark, which knows the sizes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,14 +64,24 @@ def with_relevance_of_same_lines(blocks: Column) -> Column:
     )
 
 
-def row_index(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+def row_index(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """``idx``, the rank of a row from 0 by a unique ``key``, without gathering the rows.
 
-    Ranks are counted within ranges of the key; where a range begins comes from the counts of the ranges, ``parts`` rows.
+    Ranks are counted within ranges of the key, as many as the session has
+    shuffle partitions; where a range begins comes from the counts of the ranges.
     """
-    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], F.lit(10_000)).alias("q")).first()["q"] or []
-    bounds = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    ranged = df.withColumn("__part", F.size(F.filter(bounds, lambda x: x < F.col(key))))
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], F.lit(max(10_000, 20 * parts))).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+    side = max(1, math.isqrt(len(cuts)))
+    # two steps: the group of bounds, then the bound in it
+    groups = [cuts[i : i + side] for i in range(0, len(cuts), side)] or [[]]
+    kind = f"array<{df.schema[key].dataType.simpleString()}>"
+    listed = lambda xs: F.array(*(F.lit(x) for x in xs)).cast(kind)
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col(key)))
+    group = below(listed([g[0] for g in groups if g]))  # 0: before all bounds
+    inner = below(F.get(F.array(listed([]), *(listed(g) for g in groups)), group))
+    ranged = df.withColumn("__part", F.greatest(group - 1, F.lit(0)) * side + inner)
     counts = ranged.groupBy("__part").count()
     before = counts.select("__part", (F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1

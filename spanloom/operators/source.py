@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import discard, materialize
+
 BLOCK = "pos int, block_type string, start_line int, end_line int, other_lines array<int>, content string, metadata string, block_header string, mro array<string>, relevant boolean"
 
 
@@ -78,12 +80,22 @@ def orders(classes: DataFrame) -> DataFrame:
     return classes.groupBy("hierarchy").applyInPandas(run, "hierarchy string, cls string, mro array<string>")
 
 
-def ancestors(edges: DataFrame, view: str = "class_edges") -> DataFrame:
-    """(hierarchy, child, ancestor) by any number of steps, from edges (hierarchy, child, parent).  Cycles end: a pair counts once, up to 20 steps."""
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up (hierarchy, child, ancestor, steps) AS (
-          SELECT hierarchy, child, parent, 1 FROM {view}
-          UNION ALL
-          SELECT u.hierarchy, u.child, e.parent, u.steps + 1 FROM up u JOIN {view} e ON e.hierarchy = u.hierarchy AND e.child = u.ancestor WHERE u.steps < 20 AND e.parent <> u.child
-        ) SELECT hierarchy, child, ancestor, min(steps) AS steps FROM up GROUP BY hierarchy, child, ancestor""")
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(hierarchy, child, ancestor, steps): all pairs by any number of steps and the least of them, from edges (hierarchy, child, parent).
+
+    Each round joins the pairs to themselves, so it doubles the steps; it ends
+    when nothing is new.  In a cycle a class isn't its own ancestor, but by an edge to itself.
+    """
+    pairs = materialize(edges.select("hierarchy", "child", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")).distinct(), "ancestors")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum("steps")).first())
+    was = mark(pairs)
+    while was[0]:
+        up = pairs.select("hierarchy", F.col("child").alias("ancestor"), F.col("ancestor").alias("above"), F.col("steps").alias("more"))
+        longer = pairs.join(up, ["hierarchy", "ancestor"]).filter("child <> above").select("hierarchy", "child", F.col("above").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
+        used, pairs = pairs, materialize(pairs.union(longer).groupBy("hierarchy", "child", "ancestor").agg(F.min("steps").alias("steps")), "ancestors")
+        discard(used)
+        now = mark(pairs)
+        if now == was:
+            break
+        was = now
+    return pairs

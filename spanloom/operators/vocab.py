@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_layout
@@ -42,21 +44,19 @@ def subtoken_labels(tokens: Column, labels: Column, split) -> Column:
     return F.flatten(F.transform(F.arrays_zip(tokens.alias("t"), labels.alias("l")), lambda x: F.transform(split(x["t"]), lambda p, i: F.struct(p.alias("token"), inherited(x["l"], i).cast("int").alias("label")))))
 
 
-def without_layout(tokens: Column, labels: Column) -> Column:
-    """Array of struct<token, label> without layout tokens.
+def without_layout(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``tokens`` (keys, ``pos``, ``token``, ``label``) without layout tokens.
 
     A B or F on a removed token waits, over a run of removed I's, for the next
     token kept: an I there takes it.
     """
-    start = F.struct(F.array().cast("array<struct<token:string,label:int>>").alias("kept"), F.lit(None).cast("int").alias("carried"), F.lit(False).alias("after"))
-
-    def step(a, x):
-        gone, label = is_layout(x["t"]), x["l"].cast("int")
-        carried = F.when(label.isin(0, 3), label).when(label == 1, a["carried"]).otherwise(F.lit(None).cast("int"))
-        taken = F.when(a["after"] & (label == 1) & a["carried"].isNotNull(), a["carried"]).otherwise(label)
-        return F.when(gone, F.struct(a["kept"].alias("kept"), carried.alias("carried"), F.lit(True).alias("after"))).otherwise(F.struct(F.concat(a["kept"], F.array(F.struct(x["t"].alias("token"), taken.alias("label")))).alias("kept"), F.lit(None).cast("int").alias("carried"), F.lit(False).alias("after")))
-
-    return F.aggregate(F.arrays_zip(tokens.alias("t"), labels.alias("l")), start, step, lambda a: a["kept"])
+    order = Window.partitionBy(*keys).orderBy("pos")
+    gone = is_layout(F.col("token"))
+    # what the row leaves waiting: nothing, or a removed token's letter; a removed I leaves things as they are
+    leaves = F.when(~gone, F.struct(F.lit(None).cast("int").alias("letter"))).when(F.col("label") != 1, F.struct(F.when(F.col("label").isin(0, 3), F.col("label").cast("int")).alias("letter")))
+    waiting = F.last(leaves, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))["letter"]
+    taken = F.when((F.col("label") == 1) & waiting.isNotNull(), waiting).otherwise(F.col("label").cast("int"))
+    return tokens.withColumns({"__gone": gone, "__label": taken}).filter(~F.col("__gone")).drop("__gone").withColumn("label", F.col("__label")).drop("__label")
 
 
 def subwords(vocab: frozenset[str]):

@@ -115,7 +115,7 @@ def transitive_closure(spark, sf_dir):
     """Which nation, region and world a customer's, supplier's nation lies in: all pairs of the hierarchy of places."""
     nations = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     edges = nations.select(F.lit("places").alias("hierarchy"), F.col("n_name").alias("child"), F.col("r_name").alias("parent")).unionByName(read(spark, sf_dir, "region").select(F.lit("places").alias("hierarchy"), F.col("r_name").alias("child"), F.lit("WORLD").alias("parent")))
-    return source.ancestors(edges, "place_edges")
+    return source.ancestors(edges)
 
 
 def location_regex_extract(spark, sf_dir):

@@ -58,42 +58,65 @@ def _span(sl, sc, el, ec):
     return F.struct(sl.cast("int").alias("sl"), sc.cast("int").alias("sc"), el.cast("int").alias("el"), ec.cast("int").alias("ec"))
 
 
+def _between(mark: str):
+    """0-based places of the first and last ``mark`` of a line."""
+    return F.instr("t", mark) - 1, F.length("t") - F.instr(F.reverse("t"), mark)
+
+
 def span_overlap_antijoin(spark, sf_dir):
-    """Spans from a line's first comma into the next line that overlap no span around a line's first full stop."""
+    """Spans from a line's first comma into the next line that overlap no span from the first to the last full stop of a line."""
     lines = _lines(spark, sf_dir)
-    comma, stop = F.instr("t", ","), F.instr("t", ".")
-    a = lines.filter(comma > 0).select("doc_id", _span(F.col("line"), comma - 1, F.col("line") + 1, F.lit(3)).alias("span"))
-    b = lines.filter(stop > 0).select("doc_id", _span(F.col("line"), F.greatest(stop - 6, F.lit(0)), F.col("line"), stop).alias("span"))
+    comma, (first, last) = _between(",")[0], _between(".")
+    a = lines.filter(comma >= 0).select("doc_id", _span(F.col("line"), comma, F.col("line") + 1, F.lit(3)).alias("span"))
+    b = lines.filter(first >= 0).select("doc_id", _span(F.col("line"), first, F.col("line"), last).alias("span"))
     return spans.without_overlap(a, b, ["doc_id"]).select("doc_id", "span.*")
 
 
-def token_span_labels(spark, sf_dir):
-    """Words split at single spaces, labelled by three spans of each document; counts and a digest of the labels."""
-    cut = _lines(spark, sf_dir).select("doc_id", "line", text.pieces(F.col("t")).alias("p"))
+#: Spans of each four lines: sl, sc, el, ec, rank, origin.
+MARKS = [(0, 5, 1, 12, 1, 0), (1, 4, 1, 30, 2, 3), (2, 0, 2, 25, 3, 0)]
+
+
+def _marks(lines):
+    """``MARKS`` in every four lines of every document."""
+    fours = lines.groupBy("doc_id").agg(F.max("line").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(4))).alias("line"))
+    each = F.array(*(F.struct(_span(F.col("line") + x[0], F.lit(x[1]), F.col("line") + x[2], F.lit(x[3])).alias("span"), F.lit(x[4]).alias("rank"), F.lit(x[5]).alias("origin")) for x in MARKS))
+    return fours.select("doc_id", F.explode(each).alias("m")).select("doc_id", "m.*")
+
+
+def _tokens(lines):
+    """Words split at single spaces, with their places."""
     running = Window.partitionBy("doc_id", "line").orderBy("i")
-    pieces = cut.select("doc_id", "line", F.posexplode("p").alias("i", "x")).withColumn("e", F.sum(F.length("x") + 1).over(running) - 1)
-    tokens = pieces.select("doc_id", (F.col("line").cast("long") * 1_000_000 + F.col("i")).alias("pos"), _span(F.col("line"), F.col("e") - F.length("x"), F.col("line"), F.col("e")).alias("token"))
-    fixed = [(0, 5, 1, 12, 1, 0), (1, 4, 1, 30, 2, 3), (2, 0, 2, 25, 3, 0)]
-    marks = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*(F.struct(_span(*(F.lit(v) for v in x[:4])).alias("span"), F.lit(x[4]).alias("rank"), F.lit(x[5]).alias("origin")) for x in fixed))).alias("m")).select("doc_id", "m.*")
-    got = spans.labelled_tokens(tokens, marks, ["doc_id"])
-    return got.groupBy("doc_id").agg(*(F.count_if(F.col("label") == v).alias(f"n_{k}") for k, v in (("b", 0), ("i", 1), ("o", 2), ("f", 3))), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"].cast("string")), "").cast("binary")).alias("labels_md5"))
+    pieces = lines.select("doc_id", "line", F.posexplode(text.pieces(F.col("t"))).alias("i", "x")).withColumn("e", F.sum(F.length("x") + 1).over(running) - 1)
+    return pieces.select("doc_id", "x", (F.col("line").cast("long") * 1_000_000 + F.col("i")).alias("pos"), _span(F.col("line"), F.col("e") - F.length("x"), F.col("line"), F.col("e")).alias("token"))
+
+
+def labelled(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return spans.labelled_tokens(_tokens(lines), _marks(lines), ["doc_id"])
+
+
+def token_span_labels(spark, sf_dir):
+    """Words labelled by three spans in every four lines; counts and a digest of the labels."""
+    return labelled(spark, sf_dir).groupBy("doc_id").agg(*(F.count_if(F.col("label") == v).alias(f"n_{k}") for k, v in (("b", 0), ("i", 1), ("o", 2), ("f", 3))), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"].cast("string")), "").cast("binary")).alias("labels_md5"))
 
 
 def first_sep_index(spark, sf_dir):
     """Prefix words (up to the first that ends with a full stop) are 4, others 2."""
-    stop = F.array_position(F.transform("w", lambda x: x.endswith(".")), True)
-    marked = _words(spark, sf_dir).select("doc_id", F.transform("w", lambda _, i: F.when(i < stop, 4).otherwise(2)).alias("labels"))
-    return marked.select("doc_id", arrays.first_separator(F.col("labels")).alias("sep_index"))
+    sized = _words(spark, sf_dir).select("doc_id", F.size("w").alias("n"), F.array_position(F.transform("w", lambda x: x.endswith(".")), True).cast("int").alias("stop"))
+    marked = F.concat(F.array_repeat(F.lit(4), F.col("stop")), F.array_repeat(F.lit(2), F.col("n") - F.col("stop")))
+    return sized.select("doc_id", arrays.first_separator(marked).alias("sep_index"))
 
 
 def segment_ids(spark, sf_dir):
-    """Segment ids with the document's most common length as separator: words of four letters."""
+    """Segment ids with words of four letters as separators."""
     sized = _words(spark, sf_dir).select("doc_id", F.transform("w", lambda x: F.length(x)).alias("n"))
     got = sized.select("doc_id", arrays.segment_ids(F.col("n"), F.lit(4)).alias("s"))
     return got.select("doc_id", F.aggregate("s", F.lit(0), lambda a, x: a + x).cast("long").alias("n_ones"), F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), "").cast("binary")).alias("segments_md5"))
 
 
 WIDTH, PREFIX = 64, 8
+#: Places of the models' inputs.
+SPAN_SIZE, RELEVANCE_SIZE = 1024, 512
 
 
 def _chunks(spark, sf_dir):
@@ -101,8 +124,11 @@ def _chunks(spark, sf_dir):
 
 
 def sliding_window_chunks(spark, sf_dir):
-    cut = _chunks(spark, sf_dir).select("doc_id", F.posexplode("c").alias("split", "chunk"))
-    return cut.select("doc_id", "split", F.size("chunk").alias("n"), F.md5(F.array_join("chunk", " ").cast("binary")).alias("chunk_md5"))
+    w, prefix = F.col("w"), F.lit(PREFIX)
+    # outer: else Spark adds a filter that makes the words once more
+    cut = _words(spark, sf_dir).select("doc_id", "w", F.explode_outer(F.sequence(F.lit(0), arrays.n_windows(w, prefix, WIDTH) - 1)).alias("split")).filter("split IS NOT NULL")
+    chunks = cut.select("doc_id", "split", arrays.window(w, F.col("split"), prefix, WIDTH).alias("chunk"))
+    return chunks.select("doc_id", "split", F.size("chunk").alias("n"), F.md5(F.array_join("chunk", " ").cast("binary")).alias("chunk_md5"))
 
 
 def sliding_window_reassembly(spark, sf_dir):
@@ -111,9 +137,11 @@ def sliding_window_reassembly(spark, sf_dir):
 
 
 def pad_truncate(spark, sf_dir):
-    sized = _words(spark, sf_dir).select("doc_id", arrays.fitted(F.transform("w", lambda x: F.length(x)), 128, F.lit(0)).alias("ids"), arrays.fitted(F.transform("w", label), 128, F.lit(4)).alias("labels"))
+    """Ids and labels at the size of the span model, ids at that of the relevance model."""
+    sized = _words(spark, sf_dir).select("doc_id", F.transform("w", lambda x: F.length(x)).alias("n"), F.transform("w", label).alias("l"))
     text_of = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return sized.select("doc_id", F.size("ids").alias("n"), F.md5(F.concat(text_of("ids"), F.lit(";"), text_of("labels")).cast("binary")).alias("padded_md5"))
+    fit = sized.select("doc_id", arrays.fitted(F.col("n"), SPAN_SIZE, F.lit(0)).alias("ids"), arrays.fitted(F.col("l"), SPAN_SIZE, F.lit(4)).alias("labels"), arrays.fitted(F.col("n"), RELEVANCE_SIZE, F.lit(0)).alias("short"))
+    return fit.select("doc_id", F.size("ids").alias("n"), F.size("short").alias("n_short"), F.md5(F.concat(text_of("ids"), F.lit(";"), text_of("labels"), F.lit(";"), text_of("short")).cast("binary")).alias("padded_md5"))
 
 
 def vocab_lookup(spark, sf_dir):
@@ -131,19 +159,20 @@ def subtoken_labels(spark, sf_dir):
 
 
 def layout_filter(spark, sf_dir):
-    """Conversations' turns as tokens with layout tokens in front of some: what is kept, and its labels."""
-    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    toks = F.transform("t", lambda x: F.when(x["role"] == "system", "___NL___").otherwise(x["role"]))
-    labs = F.transform("t", lambda x: F.when(x["role"] == "system", 0).otherwise(1))
-    return turns.select("conv_id", vocab.without_layout(toks, labs).alias("k")).select("conv_id", F.size("k").cast("long").alias("n_kept"), F.array_join(F.transform("k", lambda x: F.concat(x["token"], x["label"].cast("string"))), ",").alias("kept"))
+    """Conversations' turns as tokens, system turns as layout tokens: what is kept, and its labels."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("pos"), F.when(F.col("role") == "system", "___NL___").otherwise(F.col("role")).alias("token"), F.when(F.col("role") == "system", 0).otherwise(1).alias("label"))
+    kept = vocab.without_layout(turns, ["conv_id"])
+    by = kept.groupBy("conv_id").agg(F.count("*").alias("n_kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("token", F.col("label").cast("string")).alias("x")))), lambda s: s["x"]), ",").alias("kept"))
+    return turns.select("conv_id").distinct().join(by, "conv_id", "left").select("conv_id", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("kept", F.lit("")).alias("kept"))
 
 
 def local_block_lookup(spark, sf_dir):
-    """The block of ten lines that holds a line's comma span."""
+    """The block of ten lines that holds the span from a line's first to its last comma."""
     lines = _lines(spark, sf_dir)
-    found = lines.filter(F.instr("t", ",") > 0).select("doc_id", _span(F.col("line"), F.lit(0), F.col("line"), F.instr("t", ",")).alias("span"))
+    first, last = _between(",")
+    found = lines.filter(first >= 0).select("doc_id", _span(F.col("line"), first, F.col("line"), last + 1).alias("span"))
     blocks = lines.groupBy("doc_id", F.floor(F.col("line") / 10).cast("int").alias("order")).agg(F.collect_list("line").alias("lines")).withColumn("block_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("order").cast("string")))
-    return spans.local_block(found, blocks, ["doc_id"]).select("doc_id", "span.sl", "span.ec", "block_id")
+    return spans.local_block(found, blocks, ["doc_id"]).select("doc_id", "span.sl", "span.sc", "span.ec", "block_id")
 
 
 QUERIES = {f.__name__: f for f in (bio_spans, span_exact_match, span_overlap_antijoin, token_span_labels, first_sep_index, segment_ids, sliding_window_chunks, sliding_window_reassembly, pad_truncate, vocab_lookup, subtoken_labels, layout_filter, local_block_lookup)}
@@ -176,12 +205,12 @@ ORACLE_SQL = {
         SELECT lang, CAST(GROUPING(lang) AS INTEGER) AS all_rows, count(*) AS n, round(avg(em_both), 6) AS em_both, round(avg(em_answer), 6) AS em_answer, round(avg(em_sf), 6) AS em_sf FROM e GROUP BY ROLLUP (lang)""",
     "span_overlap_antijoin": f"""
         WITH {LINES}, a AS (SELECT doc_id, CAST(line AS INTEGER) AS sl, CAST(instr(t, ',') - 1 AS INTEGER) AS sc, CAST(line + 1 AS INTEGER) AS el, 3 AS ec FROM l WHERE instr(t, ',') > 0),
-        b AS (SELECT doc_id, line AS sl, greatest(instr(t, '.') - 6, 0) AS sc, line AS el, instr(t, '.') AS ec FROM l WHERE instr(t, '.') > 0)
+        b AS (SELECT doc_id, line AS sl, instr(t, '.') - 1 AS sc, line AS el, length(t) - instr(reverse(t), '.') AS ec FROM l WHERE instr(t, '.') > 0)
         SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND {_ov('a', 'b')})""",
     "token_span_labels": f"""
         WITH {LINES}, p AS (SELECT doc_id, line, unnest(string_split(t, ' ')) AS x, generate_subscripts(string_split(t, ' '), 1) AS i FROM l),
         t AS (SELECT doc_id, line, i, sum(length(x) + 1) OVER (PARTITION BY doc_id, line ORDER BY i) - 1 AS ec, sum(length(x) + 1) OVER (PARTITION BY doc_id, line ORDER BY i) - 1 - length(x) AS sc FROM p),
-        o AS (SELECT *, CASE WHEN line = 2 AND 0 <= sc AND 25 >= ec THEN 0 WHEN line = 1 AND 4 <= sc AND 30 >= ec THEN 3 WHEN line = 0 AND 5 <= sc THEN 0 WHEN line = 1 AND 12 >= ec THEN 0 END AS origin FROM t),
+        o AS (SELECT *, CASE WHEN line % 4 = 2 AND 0 <= sc AND 25 >= ec THEN 0 WHEN line % 4 = 1 AND 4 <= sc AND 30 >= ec THEN 3 WHEN line % 4 = 0 AND 5 <= sc THEN 0 WHEN line % 4 = 1 AND 12 >= ec THEN 0 END AS origin FROM t),
         y AS (SELECT doc_id, line, i, CASE WHEN origin IS NULL THEN 2 WHEN coalesce(lag(origin) OVER (PARTITION BY doc_id ORDER BY line, i), -1) = -1 THEN origin ELSE 1 END AS label FROM o)
         SELECT doc_id, count(*) FILTER (WHERE label = 0) AS n_b, count(*) FILTER (WHERE label = 1) AS n_i, count(*) FILTER (WHERE label = 2) AS n_o, count(*) FILTER (WHERE label = 3) AS n_f, md5(string_agg(CAST(label AS VARCHAR), '' ORDER BY line, i)) AS labels_md5 FROM y GROUP BY doc_id""",
     "first_sep_index": f"""
@@ -193,8 +222,8 @@ ORACLE_SQL = {
     "sliding_window_chunks": f"WITH {CUT} SELECT doc_id, split, CAST(len(chunk) AS INTEGER) AS n, md5(array_to_string(chunk, ' ')) AS chunk_md5 FROM k",
     "sliding_window_reassembly": f"SELECT doc_id, CAST(len({W}) AS INTEGER) AS n, 1 AS same, md5(array_to_string({W}, ' ')) AS words_md5 FROM documents",
     "pad_truncate": f"""
-        WITH d AS (SELECT doc_id, {W} AS w FROM documents), p AS (SELECT doc_id, list_resize(list_transform(w, lambda x: length(x)), 128, 0) AS ids, list_resize(list_transform(w, lambda x: {LABEL.format('x')}), 128, 4) AS labels FROM d)
-        SELECT doc_id, 128 AS n, md5(array_to_string(ids, ',') || ';' || array_to_string(labels, ',')) AS padded_md5 FROM p""",
+        WITH d AS (SELECT doc_id, {W} AS w FROM documents), p AS (SELECT doc_id, list_resize(list_transform(w, lambda x: length(x)), 1024, 0) AS ids, list_resize(list_transform(w, lambda x: {LABEL.format('x')}), 1024, 4) AS labels, list_resize(list_transform(w, lambda x: length(x)), 512, 0) AS short FROM d)
+        SELECT doc_id, 1024 AS n, 512 AS n_short, md5(array_to_string(ids, ',') || ';' || array_to_string(labels, ',') || ';' || array_to_string(short, ',')) AS padded_md5 FROM p""",
     "vocab_lookup": f"""
         WITH {TOK}, v AS (SELECT x AS token, row_number() OVER (ORDER BY count(*) DESC, x) - 1 AS id FROM w GROUP BY x QUALIFY row_number() OVER (ORDER BY count(*) DESC, x) <= 1000),
         t AS (SELECT item_id, unnest({W}) AS token, CAST(generate_subscripts({W}, 1) - 1 AS INTEGER) AS pos FROM benchmark)
@@ -208,5 +237,5 @@ ORACLE_SQL = {
         WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS before FROM conversations),
         k AS (SELECT conv_id, turn, role, role || CASE WHEN before = 'system' THEN '0' ELSE '1' END AS x FROM t WHERE role <> 'system')
         SELECT conv_id, count(x) AS n_kept, coalesce(string_agg(x, ',' ORDER BY turn, role), '') AS kept FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN k USING (conv_id) GROUP BY conv_id""",
-    "local_block_lookup": f"WITH {LINES} SELECT DISTINCT doc_id, CAST(line AS INTEGER) AS sl, CAST(instr(t, ',') AS INTEGER) AS ec, doc_id || '/' || (line // 10) AS block_id FROM l WHERE instr(t, ',') > 0",
+    "local_block_lookup": f"WITH {LINES} SELECT DISTINCT doc_id, CAST(line AS INTEGER) AS sl, CAST(instr(t, ',') - 1 AS INTEGER) AS sc, CAST(length(t) - instr(reverse(t), ',') + 1 AS INTEGER) AS ec, doc_id || '/' || (line // 10) AS block_id FROM l WHERE instr(t, ',') > 0",
 }

@@ -42,8 +42,7 @@ def _pairs(spark, sf_dir):
     best = _ranked(spark, sf_dir, 10)
     items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
     joined = best.join(items.withColumnRenamed("text", "query"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    # the part of a document that stands for a generation is its first line
-    return metrics.bleu(joined, ["item_id", "doc_id", "rank"], text.words(F.col("query")), text.words(F.split("text", "\n")[0]))
+    return metrics.bleu(joined, ["item_id", "doc_id", "rank"], text.words(F.col("query")), text.words(F.col("text")))
 
 
 def bleu_pairs(spark, sf_dir):
@@ -64,28 +63,23 @@ w AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 idf AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, w GROUP BY token, n),
 fl AS (SELECT 0.25 * avg(raw) AS f FROM idf),
 q AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(string_split(text, ' ')) AS token FROM benchmark) GROUP BY ALL),
-s AS (SELECT q.item_id, tf.doc_id, round(sum(qtf * (CASE WHEN raw < 0 THEN f ELSE raw END) * tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * dl.dl / avgdl))), 6) AS score
+m AS (SELECT q.item_id, tf.doc_id, round(sum(qtf * (CASE WHEN raw < 0 THEN f ELSE raw END) * tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * dl.dl / avgdl))), 6) AS score
       FROM q JOIN idf USING (token) JOIN tf USING (token) JOIN dl USING (doc_id), w, fl GROUP BY ALL),
+s AS (SELECT b.item_id, d.doc_id, coalesce(m.score, 0) AS score FROM benchmark b CROSS JOIN d LEFT JOIN m ON m.item_id = b.item_id AND m.doc_id = d.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
 """
 
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
 
 
-def _grams(x: str, n: int) -> str:
-    return f"list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string(list_slice({x}, i, i + {n - 1}), chr(1)))"
-
-
 def _pair_sql() -> str:
-    steps = []
-    for n in (1, 2, 3, 4):
-        steps.append(
-            f"list_sum(list_transform(list_distinct({_grams('c', n)}), lambda g: least(len(list_filter({_grams('c', n)}, lambda x: x = g)), len(list_filter({_grams('r', n)}, lambda y: y = g))))) AS h{n}, greatest(len(c) - {n} + 1, 0) AS t{n}"
-        )
+    grams = lambda side: " UNION ALL ".join(f"SELECT item_id, doc_id, {n} AS n, unnest(list_transform(range(1, len({side}) - {n - 2}), lambda i: array_to_string(list_slice({side}, i, i + {n - 1}), chr(1)))) AS g FROM p WHERE len({side}) >= {n}" for n in (1, 2, 3, 4))
     return (
-        f"WITH {BM25}, p AS (SELECT item_id, doc_id, rank, {WORDS.format('b.text')} AS r, {WORDS.format('string_split(d2.text, chr(10))[1]')} AS c FROM r JOIN benchmark b USING (item_id) JOIN documents d2 USING (doc_id) WHERE rank <= 10), "
-        f"h AS (SELECT item_id, doc_id, rank, len(r) AS lr, len(c) AS lc, {', '.join(steps)} FROM p), "
-        "x AS (SELECT item_id, doc_id, rank, CASE WHEN lc = 0 OR coalesce(h1, 0) = 0 THEN 0.0 ELSE exp((CASE WHEN lc >= lr THEN 0.0 ELSE 1 - lr / lc END) + (ln(h1 / t1) + ln((coalesce(h2, 0) + 1) / (t2 + 1)) + ln((coalesce(h3, 0) + 1) / (t3 + 1)) + ln((coalesce(h4, 0) + 1) / (t4 + 1))) / 4) END AS bleu FROM h)"
+        f"WITH {BM25}, p AS (SELECT item_id, doc_id, rank, {WORDS.format('b.text')} AS r, {WORDS.format('d2.text')} AS c FROM r JOIN benchmark b USING (item_id) JOIN documents d2 USING (doc_id) WHERE rank <= 10), "
+        f"gr AS (SELECT item_id, doc_id, n, g, count(*) AS k FROM ({grams('r')}) GROUP BY ALL), gc AS (SELECT item_id, doc_id, n, g, count(*) AS k FROM ({grams('c')}) GROUP BY ALL), "
+        "u AS (SELECT item_id, doc_id, n, sum(least(gr.k, gc.k)) AS h FROM gr JOIN gc USING (item_id, doc_id, n, g) GROUP BY ALL), "
+        f"h AS (SELECT p.item_id, p.doc_id, p.rank, len(r) AS lr, len(c) AS lc, {', '.join(f'coalesce((SELECT h FROM u WHERE u.item_id = p.item_id AND u.doc_id = p.doc_id AND n = {n}), 0) AS h{n}, greatest(len(c) - {n - 1}, 0) AS t{n}' for n in (1, 2, 3, 4))} FROM p), "
+        "x AS (SELECT item_id, doc_id, rank, CASE WHEN lc = 0 OR h1 = 0 THEN 0.0 ELSE exp((CASE WHEN lc >= lr THEN 0.0 ELSE 1 - lr / lc END) + (ln(h1 / t1) + ln((h2 + 1) / (t2 + 1)) + ln((h3 + 1) / (t3 + 1)) + ln((h4 + 1) / (t4 + 1))) / 4) END AS bleu FROM h)"
     )
 
 
