@@ -1 +1 @@
-"""PySpark-native engine for span-annotated datasets: preparation, retrieval and evaluation."""
+"""Readers and writers of the engine's tables and files."""
