@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Separators, the mark for no span, layout tokens, places in messages.
 #: Between the spans of one text, and what stands where there is none.
 SPAN_SEPARATOR, NO_SPAN = ":::-:::", "N/A"
 #: Between the parts of an analysis message.
@@ -121,10 +122,5 @@ def truncated_prompt(prompt: Column, tokens: Column, most: int = 4096, keep: int
     return F.when(tokens > most, F.substring(prompt, 1, keep)).otherwise(prompt)
 
 
-def stub(class_name: Column, method: Column, template: str = "class {class}:\n    def {method}(self, *args):\n        pass\n") -> Column:
-    """Stand-in source for a built-in class that has ``method``."""
-    return F.replace(F.replace(F.lit(template), F.lit("{class}"), class_name), F.lit("{method}"), method)
-
-
 def is_layout(token: Column) -> Column:
     return token.rlike(LAYOUT)

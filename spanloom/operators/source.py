@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import discard, materialize
@@ -47,7 +47,7 @@ AUX = "array<struct<name:string,message:string,start_line:int,start_col:int,end_
 
 
 def contexts(findings: DataFrame, everything: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(blocks, rejects) of findings: finding_id, query, source, message, span struct (0-based) and aux, the auxiliary rows of the file (``AUX``)."""
+    """(blocks, rejects) of findings: finding_id, query, source, message, span struct (0-based), aux, the auxiliary rows of the file (``AUX``), and, if there are any, ``facts``, an array of span structs."""
     from ..source_code import rules
     from ..source_code.blocks import Program
 
@@ -59,16 +59,60 @@ def contexts(findings: DataFrame, everything: bool = False) -> tuple[DataFrame,
                 aux = [rules.Aux(*(a[k] for k in ("name", "message", "start_line", "start_col", "end_line", "end_col"))) for a in (r.aux if r.aux is not None else [])]
                 f = rules.Finding(program, r.sl, r.sc, r.el, r.ec, r.message or "", aux)
                 found, why = rules.context(r.query, f)
+                try:
+                    if found and r.facts is not None:
+                        found = rules.with_facts(r.query, f, found, [(x["sl"], x["el"]) for x in r.facts])
+                except ValueError as e:
+                    found, why = [], f"generic: {e}"
                 if everything and not why:
                     found = rules.with_all_blocks(found, program)
                 rows += [(r.finding_id, None, *_row(i, b)) for i, b in enumerate(found)] or [(r.finding_id, why, *[None] * len(NAMES))]
             yield pd.DataFrame(rows, columns=["finding_id", "error", *NAMES])
 
-    flat = findings.select("finding_id", "query", "source", "message", "span.sl", "span.sc", "span.el", "span.ec", "aux")
-    made = flat.mapInPandas(run, f"finding_id long, error string, {BLOCK}")
+    facts = F.col("facts") if "facts" in findings.columns else F.lit(None).cast("array<struct<sl:int,sc:int,el:int,ec:int>>")
+    flat = findings.select("finding_id", "query", "source", "message", "span.sl", "span.sc", "span.el", "span.ec", "aux", facts.alias("facts"))
+    made = materialize(flat.mapInPandas(run, f"finding_id long, error string, {BLOCK}"), "contexts")  # both sides read it
     return made.filter("error IS NULL").drop("error"), made.filter("error IS NOT NULL").select("finding_id", F.lit("Context error").alias("error_type"), F.col("error").alias("message"))
 
 
+def header_tokens(headers: DataFrame, keys: list[str], header: str = "block_header") -> DataFrame:
+    """Tokens of blocks' headers, labelled outside and without a place: keys, pos, text, token."""
+    return _tokenised(headers, keys, header, "header_tokens")
+
+
+def stub_tokens(stubs: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Tokens of stubs: keys, pos, text, token."""
+    return _tokenised(stubs, keys, content, "stub_tokens")
+
+
+def query_tokens(queries: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
+    """Tokens of queries' names: keys, pos, text, token."""
+    return _tokenised(queries, keys, name, "query_tokens")
+
+
+def perturbed_tokens(lines: DataFrame, keys: list[str], code: str = "code", number: str = "line") -> DataFrame:
+    """Tokens of changed lines, all on the given line, one behind the other; a line that can't be read fails the query."""
+    found = _tokenised(lines, [*keys, number], code, "tokens")
+    checked = F.when(F.col("text") == "___ERROR___", F.raise_error(F.lit("a changed line can't be read")).cast("string")).otherwise(F.col("text"))
+    end = F.sum(F.length("text") + 1).over(Window.partitionBy(*keys, number).orderBy("pos")).cast("int")
+    at = F.struct(F.col(number).alias("sl"), (end - 1 - F.length("text")).alias("sc"), F.col(number).alias("el"), (end - 2).alias("ec"))
+    return found.withColumn("token", at).select(*keys, "pos", checked.alias("text"), "token")
+
+
+def _tokenised(df: DataFrame, keys: list[str], column: str, how: str) -> DataFrame:
+    from ..source_code import lexer
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(*k, i, t.text, t.sl, t.sc, t.el, t.ec) for *k, x in pdf.itertuples(index=False) for i, t in enumerate(getattr(lexer, how)(x or ""))]
+            yield pd.DataFrame(rows, columns=[*keys, "pos", "text", "sl", "sc", "el", "ec"])
+
+    flat = df.select(*keys, F.col(column).alias("__text")).mapInPandas(run, f"{kinds}, pos int, text string, sl int, sc int, el int, ec int")
+    return flat.select(*keys, "pos", "text", F.struct("sl", "sc", "el", "ec").alias("token"))
+
+
 def orders(classes: DataFrame) -> DataFrame:
     """Method resolution order of each class: (hierarchy, cls, mro) from rows (hierarchy, cls, bases)."""
     from ..source_code.mro import linearized

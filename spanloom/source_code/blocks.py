@@ -13,6 +13,8 @@ from dataclasses import dataclass, field, replace
 from .mro import linearized
 
 MODULE = "module"
+#: How every order of classes begins; that of the module has no more.
+LEVEL = ("__", "__class__")
 #: Statements whose bodies count as the level they stand on.
 OPEN = frozenset("if elif else try except finally with".split())
 WORD = re.compile(r"[A-Za-z_]\w*")
@@ -28,7 +30,7 @@ class Block:
     content: str
     metadata: str
     header: str = MODULE
-    mro: tuple[str, ...] = ()
+    mro: tuple[str, ...] = LEVEL
     relevant: bool = False
 
     @property
@@ -46,6 +48,10 @@ class Block:
         """Equal in place and text, whatever their relevance."""
         return replace(self, relevant=False) == replace(other, relevant=False)
 
+    def placed(self, other: Block) -> bool:
+        """Equal in place."""
+        return (self.start, self.end, self.others) == (other.start, other.end, other.others)
+
     def within(self, other: Block) -> bool:
         return self.start >= other.start and self.end <= other.end
 
@@ -152,6 +158,20 @@ def _bases(header: str) -> list[str]:
     return [x.strip() for x in inner.split("):")[0].rstrip("):").split(",") if x.strip()]
 
 
+def import_lines(statement: str) -> list[str]:
+    """A statement for each name that an import statement brings.
+
+    >>> import_lines("from m import (a,\\n  b as c)")
+    ['from m import a', 'from m import b as c']
+    """
+    m = re.match(r"(from\s+\S+\s+import|import)\b(.*)", statement.split("#")[0] if "\n" not in statement else statement, re.S)
+    if not m:
+        return []
+    head = " ".join(m[1].split())
+    names = re.sub(r"#[^\n]*", "", m[2]).translate(str.maketrans("()\\\n;", "     ")).split(",")
+    return [f"{head} {' '.join(n.split())}" for n in names if n.strip()]
+
+
 class Program:
     """A source file, cut up once."""
 
@@ -165,9 +185,9 @@ class Program:
         self.bases = {c.name: _bases(c.header) for c in self.classes}
         for b in [*self.functions, *self.classes]:
             if b.kind == "CLASS_FUNCTION":
-                b.mro = ("__", "__class__", *self.mro(b.owner))
+                b.mro = (*LEVEL, *self.mro(b.owner))
             elif b.kind == "CLASS":
-                b.mro = ("__", "__class__", *self.bases[b.name])
+                b.mro = (*LEVEL, *self.bases[b.name])
         self.blocks = [*self.functions, *self._rest()]
 
     def _walk(self, body: list[Statement], path: str, owner: Block | None, conditional: bool) -> None:
@@ -230,24 +250,56 @@ class Program:
         return next((c for c in self.classes if c.start <= start and end <= c.end), None)
 
     def function_by_mro(self, func: str, cls: str) -> Block | None:
-        """The method that ``cls`` gets: of the first class in its order that has it; a stub for a built-in one; else none."""
+        """The method that ``cls`` gets: of the first class in its order that has it here, else a stub of the first built-in one, else none."""
         for name in self.mro(cls):
             for b in self.functions:
                 if b.kind == "CLASS_FUNCTION" and b.owner == name and b.name == func:
                     return b
-            if name in BUILTINS and func in STUBS:
+        for name in self.mro(cls):
+            if name in BUILTINS:
                 return next(b for b in stub_blocks(name, func) if b.name == func)
         return None
 
-
-BUILTINS = frozenset("list dict set frozenset tuple bool int float complex str bytes bytearray memoryview NoneType None object".split())
-STUBS = frozenset(("__eq__", "__call__", "__hash__", "__init__", "__lt__", "__le__", "__gt__", "__ge__", "__iter__"))
-
-
-def stub_source(cls: str, func: str) -> str:
-    return f"class {cls}(object):\n    def {func}(self, *args):\n        pass\n"
-
-
-def stub_blocks(cls: str, func: str) -> list[Block]:
-    """Blocks of a stand-in class; they have no lines."""
-    return [replace(b, kind="STUB", start=-1, end=-1, others=()) for b in Program(stub_source(cls, func)).blocks if b.content.strip()]
+    def imports(self) -> Block:
+        """All import statements of the file, one name each, as a block of their lines; it isn't a part of the file as it stands."""
+        found: list[tuple[str, int, int]] = []
+
+        def walk(body: list[Statement]) -> None:
+            for s in body:
+                if s.word in ("import", "from") and s.colon < 0:
+                    found.extend((line, s.start, s.end) for line in import_lines(s.text))
+                walk(s.body)
+
+        walk(self.roots)
+        lines = tuple(i for _, a, b in found for i in range(a, b + 1))
+        return Block("IMPORT", -1, -1, lines, "\n".join(x for x, _, _ in found), "", "", ())
+
+    def module(self) -> Block:
+        """The whole file as one block."""
+        return Block("root", 0, len(self.text) - 1, (), self.source, "", MODULE, LEVEL)
+
+
+# Built-in types that have stubs, and the stubs, as block ids hash their text.
+BUILTINS = ("list", "dict", "set", "frozenset", "tuple", "bool", "int", "float", "complex", "str", "NoneType", "None")
+CALL_STUB = """\
+class <builtin_type>(object):
+    def __call__(self):
+        raise NotImplementedError"""
+EQ_STUB = """\
+class <builtin_type>(object):
+    def __eq__(self, value):
+        return self==value"""
+CUSTOM_STUB = """\
+class <builtin_type>(object):
+    def <function_name>(self):
+        raise NotImplementedError"""
+
+
+def stub_source(cls: str, func: str, template: str = CUSTOM_STUB) -> str:
+    return template.replace("<builtin_type>", cls).replace("<function_name>", func)
+
+
+def stub_blocks(cls: str, func: str, template: str = CUSTOM_STUB, marked: bool = True) -> list[Block]:
+    """Blocks of a stand-in class, which have no place in the file; ``marked`` ones say so in their headers."""
+    made = Program(stub_source(cls, func, template)).blocks
+    return [replace(b, kind="STUB", start=-1, end=-1, header=f"STUB {b.header}" if marked else b.header) for b in made]

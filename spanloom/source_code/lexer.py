@@ -48,8 +48,9 @@ def program_tokens(source: str) -> list[Token]:
     return tokens(source)[:-1]
 
 
-def query_tokens(name: str) -> list[str]:
-    return [t.text for t in tokens(name)[:-1]]
+def query_tokens(name: str) -> list[Token]:
+    """Tokens of a query's name: all but the last."""
+    return tokens(name)[:-1]
 
 
 def header_tokens(header: str) -> list[Token]:

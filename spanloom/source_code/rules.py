@@ -11,9 +11,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from .blocks import BUILTINS, Block, Program, stub_blocks
+from .blocks import BUILTINS, CALL_STUB, EQ_STUB, Block, Program, stub_blocks
 from .mro import between
 
+# How messages name places and calls, and the methods of an ordering.
 LOCATION = re.compile(r"relative:///[a-zA-Z0-9_.]*:(\d+):(\d+):(\d+):(\d+)")
 CALL = re.compile(r"\[\[(.*)\|")
 ORDERING = ("__ge__", "__gt__", "__le__", "__lt__")
@@ -128,8 +129,8 @@ def _called(kind: str):
     return rule
 
 
-def _typed(method: str, several: bool):
-    """Blocks of the classes that a message names; ``method`` is what was called on them."""
+def _typed(method: str, stub: str, several: bool):
+    """Blocks of the classes that a message names; ``method`` is what was called on them, ``stub`` stands for that of a built-in type."""
 
     def rule(f: Finding) -> list[Block]:
         local, k = f.local(), Kept()
@@ -137,8 +138,6 @@ def _typed(method: str, several: bool):
         for part in f.message.split("\n") if several else [f.message]:
             first = part.split(":::")[0]
             name = first.split()[-1].strip() if first.split() else ""
-            if several and first == f.message:
-                continue  # the message names no type
             if first.startswith("class"):
                 cls = next((c for c in f.program.classes if c.name == name), None)
                 if cls is None:
@@ -150,7 +149,7 @@ def _typed(method: str, several: bool):
                     k.add(b)
                 k.add(f.program.function_by_mro(method, name), True)
             elif first.startswith("builtin-class") and name in BUILTINS:
-                for b in stub_blocks(name, method):
+                for b in stub_blocks(name, method, stub, marked=not several):
                     k.add(b, b.name == method)
             else:
                 for b in f.program.blocks:
@@ -310,13 +309,14 @@ def iterator_result(f: Finding) -> list[Block]:
     return k.blocks
 
 
+# Names of queries and of auxiliary results.
 RULES: dict[str, Callable[[Finding], list[Block]]] = {
     "Unused import": unused_import,
     "`__eq__` not overridden when adding attributes": equals_with_attributes,
     "Use of the return value of a procedure": _called("Used function call map"),
     "Wrong number of arguments in a call": _called("Function call map"),
-    "Comparison using is when operands support `__eq__`": _typed("__eq__", True),
-    "Non-callable called": _typed("__call__", False),
+    "Comparison using is when operands support `__eq__`": _typed("__eq__", EQ_STUB, True),
+    "Non-callable called": _typed("__call__", CALL_STUB, False),
     "`__init__` method calls overridden method": init_calls_overridden,
     "Signature mismatch in overriding method": signature_mismatch,
     "Conflicting attributes in base classes": conflicting_attributes,
@@ -342,29 +342,74 @@ def context(query: str, f: Finding) -> tuple[list[Block], str]:
     return found, ""
 
 
-def with_facts(blocks: list[Block], facts: list[Block], program: Program, plain: bool = False) -> list[Block]:
-    """Context with the blocks of supporting facts: one that is there becomes relevant, another is added, with what links its class to those there."""
-    k = Kept()
-    for b in blocks:
-        k.add(b, b.relevant)
-    for s in facts:
-        if any(b.lines() == s.lines() for b in k.blocks):
-            k.mark(lambda b, s=s: b.lines() == s.lines())
-            continue
-        if not plain:
-            for b in list(k.blocks):
-                for c in linkage(program, b, s):
-                    k.add(c, True)
-        k.add(s, True)
-    return k.blocks
+# Queries whose supporting facts add no block, and those whose facts stand for themselves.
+WITHOUT_FACTS = (
+    "`__eq__` not overridden when adding attributes",
+    "Special method has incorrect signature",
+    "Non-standard exception raised in special method",
+    "Should use a 'with' statement",
+    "Modification of parameter with default",
+)
+PLAIN_FACTS = ("Variable defined multiple times", "Module is imported more than once")
 
 
-def linkage(program: Program, a: Block, b: Block) -> list[Block]:
-    """What joins two methods: the fields and ``__init__`` of their class, or of the classes between theirs."""
-    if not (is_method(a) and is_method(b)):
-        return []
-    names = [a.owner] if a.owner == b.owner else between(program.mro(a.owner), b.owner) or between(program.mro(b.owner), a.owner)
-    return [x for x in program.blocks if (is_method(x, "__init__") and x.owner in names) or (x.kind == "CLASS_OTHER" and x.name in names)]
+def with_facts(query: str, f: Finding, blocks: list[Block], facts: list[tuple[int, int]]) -> list[Block]:
+    """Context with the blocks that hold the supporting facts (first and last line of each).
+
+    A block that is there becomes relevant; another is added, with what links
+    its class to the finding's.
+    """
+    if query in WITHOUT_FACTS:
+        return blocks
+    out = list(blocks)
+
+    def join(block: Block) -> None:
+        for i, b in enumerate(out):
+            if b.placed(block):
+                out[i] = replace(b, relevant=True)
+                return
+        out.append(replace(block, relevant=True))
+
+    held: list[Block] = []
+    for start, end in facts:
+        b = f.program.local_block(start, end)
+        if b is None:
+            raise ValueError("a supporting fact in no block")
+        if not any(b.same(h) for h in held):
+            held.append(b)
+    for b in held:
+        there = any(b.placed(x) for x in out)
+        for x in [b] if there or query in PLAIN_FACTS else linked(f, b):
+            join(x)
+    return out
+
+
+def linked(f: Finding, fact: Block) -> list[Block]:
+    """A fact's block, and the fields and ``__init__`` of the classes between it and the finding, in the file's order."""
+    in_class = ("CLASS_FUNCTION", "CLASS_OTHER")
+    if fact.kind not in in_class:
+        return [fact]
+    own, local, cls = f.program.local_class(fact.start, fact.end), f.local(), f.local_class()
+    if own is None:
+        raise ValueError("a supporting fact in no class")
+    if local is not None and local.kind in in_class and cls is not None:
+        names = between_classes(f.program.mro(cls.name), f.program.mro(own.name))
+        if not names:
+            return [fact]
+        candidates = f.program.blocks
+    else:
+        names = [own.name]
+        candidates = [b for b in f.program.blocks if b.within(own)]
+    return [b for b in candidates if b.placed(fact) or (is_method(b, "__init__") and b.owner in names) or (b.kind == "CLASS_OTHER" and b.name in names)]
+
+
+def between_classes(a: list[str], b: list[str]) -> list[str]:
+    """The classes from one to the other, the lower first, if one comes from the other; orders begin with the class itself."""
+    if b[0] in a and a[0] not in b:
+        return between(a, b[0])
+    if a[0] in b and b[0] not in a:
+        return between(b, a[0])
+    return []
 
 
 def with_all_blocks(blocks: list[Block], program: Program) -> list[Block]:
