@@ -1,17 +1,17 @@
-"""What the operators of this subpackage share: the folder that all executors
-see, cutting of lineage, Arrow batch sizes and small text helpers."""
+"""What the operators of this subpackage share: cutting of lineage, Arrow batch sizes and small text helpers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import discard, materialize
+
+__all__ = ["crc_mod", "discard", "map_arrow", "materialize", "read_table", "texts_of", "tune", "width"]
+
 #: Rows and bytes of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
@@ -28,35 +28,6 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.  Where it is unset: a temporary folder in local mode, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), "spanloom-checkpoints")
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: the plan is cut and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what ``materialize`` wrote for ``df``, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     tune(df.sparkSession)

@@ -54,12 +54,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects [text parts, tags, inside an article, dropped, heading] for each line."""
+    """Collects [text, tags, inside an article, heading] for each line.  Data and tags in what is never content don't count, wherever in a line it stands."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []  # tag, drops, is an article
-        self.drops = self.articles = 0
+        self.places: dict[str, list[int]] = {}  # of each tag that is open, in the stack
+        self.drops = self.articles = self.headings = 0
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -68,20 +69,27 @@ class Lines(HTMLParser):
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append([text, self.tags, self.articles > 0, self.drops > 0, any(t in HEADINGS for t, _, _ in self.stack)])
+                self.lines.append([text, self.tags, self.articles > 0, self.headings > 0])
                 self.tags = 0
             self.parts = []
 
     def pop_to(self, at: int) -> None:
-        for _, drops, article in self.stack[at:]:
+        for tag, drops, article in self.stack[at:]:
             self.drops -= drops
             self.articles -= article
+            self.headings -= tag in HEADINGS
+            self.places[tag].pop()
         del self.stack[at:]
 
+    def last(self, *tags: str) -> int:
+        """Place of the last open one of the tags, -1 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
+        self.tags += not self.drops
         if tag in BLOCKS:
-            self.cut()
+            if not self.drops:
+                self.cut()
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag[0] == "h" and tag[1:].isdigit():
                 self.close_open("p" if tag[0] == "h" else tag)
         elif tag == "br":
@@ -99,34 +107,30 @@ class Lines(HTMLParser):
         if article and not drops and self.drops and not any(t in ("aside", "form", "template", "noscript", "dialog") for t, d, _ in self.stack if d) and tag in ("article", "main") and not self.articles:
             # a menu or advert left open before the article begins
             self.pop_to(next(i for i, x in enumerate(self.stack) if x[1]))
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, drops, article))
         self.drops += drops
         self.articles += article
+        self.headings += tag in HEADINGS
 
     def close_open(self, tag: str) -> None:
-        fences = FENCES.get(tag, frozenset(("table", "dl", "select", "article", "body")))
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.pop_to(i)
-                return
-            if self.stack[i][0] in fences:
-                return
+        at = self.last(tag)
+        if at > self.last(*FENCES.get(tag, ("table", "dl", "select", "article", "body"))):
+            self.pop_to(at)
 
     def handle_endtag(self, tag):
-        self.tags += 1
-        if tag in BLOCKS:
+        self.tags += not self.drops
+        if tag in BLOCKS and not self.drops:
             self.cut()
         if tag in VOID:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.pop_to(i)
-                return
-            if self.stack[i][0] in ("article", "main", "body") and tag not in ("main", "body", "html"):
-                return
+        at = self.last(tag)
+        if at >= 0 and (tag in ("main", "body", "html") or at >= self.last("article", "main", "body")):
+            self.pop_to(at)
 
     def handle_data(self, data):
-        self.parts.append(data)
+        if not self.drops:
+            self.parts.append(data)
 
     def unknown_decl(self, data):
         pass
@@ -163,7 +167,7 @@ def content(lines: list[list]) -> np.ndarray:
     ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines], np.float64)
     scores = smooth(np.log1p(np.minimum(ratios, FULL)) + BONUS * np.array([x[2] for x in lines]))
     keeps = scores >= threshold(scores)
-    opens = keeps | np.array([x[4] for x in lines])
+    opens = keeps | np.array([x[3] for x in lines])
     at = np.flatnonzero(opens)
     for i, j in zip(at[:-1][::-1], at[1:][::-1], strict=True):
         if keeps[j] and j - i <= BETWEEN + 1:
@@ -187,12 +191,14 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    # behind the last > no tag ends: what looks like one is text (the parser would try each anew, to the end)
+    cut = html.rfind(">") + 1
+    page.feed(html[:cut])
+    page.feed(html[cut:].replace("<", "&lt;"))
     page.end()
-    kept = [x for x in page.lines if not x[3]]
-    if not kept:
+    if not page.lines:
         return ""
-    return "\n".join(x[0] for x, keeps in zip(kept, content(kept), strict=True) if keeps)
+    return "\n".join(x[0] for x, keeps in zip(page.lines, content(page.lines), strict=True) if keeps)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -422,11 +422,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     roots = _roots(marked, radius_for(jaccard, parts), parts, jaccard)
     by = marked.groupBy("key").agg(F.min(rank).alias("first")).join(roots.select("key", "root"), "key").groupBy("root").agg(F.min("first").alias("first"))
-    chosen = by.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
-    alike = marked.groupBy("doc_id", "digest").agg((F.count("*") > 1).alias("__alike"))
-    kept = materialize(chosen.join(alike, F.col("__id").eqNullSafe(F.col("doc_id")) & F.col("__digest").eqNullSafe(F.col("digest"))).select("__id", "__digest", "__alike"), "kept")
-    found = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.md5(F.col(text_col).cast("binary")).eqNullSafe(F.col("__digest")))
-    single = found.filter("NOT __alike")
+    chosen = by.select(F.col("first.doc_id").alias("id"), F.col("first.digest").alias("hash"))
+    alike = marked.groupBy("doc_id", "digest").agg((F.count("*") > 1).alias("alike"))
+    kept = materialize(chosen.join(alike, F.expr("id <=> doc_id AND hash <=> digest")).select("id", "hash", "alike"), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own"), F.md5(F.col(text_col).cast("binary")).alias("digest"))
+    found = rows.join(kept, F.expr("own <=> id AND digest <=> hash"))
+    single = found.filter("NOT alike").select("row.*")
     # rows alike in id and text: any one of them
-    first = found.filter("__alike").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.lit(0)))).filter("__n = 1")
-    return single.select(docs.columns).unionByName(first.select(docs.columns))
+    first = found.filter("alike").withColumn("n", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))).filter("n = 1")
+    return single.unionByName(first.select("row.*"))

@@ -156,7 +156,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of every document, of its edited text, and their likenesses.
 
     The next document is the one of the next smaller id; after the last comes
-    the first.  Rows of one id follow one another by text; null ids come last.
+    the first.  Rows of one id follow one another by the bytes of their compressed texts; null ids come last.
 
     One shuffle: rows go to ranges of ids whose bounds are ids that occur, so
     a mapper knows which rows open a range and sends a second copy of them to

@@ -4,7 +4,7 @@ A block of candidates keeps, for each dimension, its vectors sorted by that
 component.  For a query the lists are walked together from the end that its
 component's sign favours.  After depth d no vector unseen can score more than
 the sum of query components times the lists' values at d; once that is below
-the k-th score so far the walk stops.  Equal bounds go on, as a tie might have
+the k-th score so far the walk stops, as it does when all were seen.  Equal bounds go on, as a tie might have
 the smaller id.  Scores are exact integers.
 
 Queries and candidates meet in pairs of blocks of bounded size; the k best of
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import tune
 
 #: Candidates and queries of a block; first depth of a walk and its growth.
-CANDIDATES, QUERIES, DEPTH, GROWTH = 16_384, 4096, 256, 2
+CANDIDATES, QUERIES, DEPTH, GROWTH = 16_384, 4096, 8, 2
 
 
 def integers(df: DataFrame, vec: str, scale: float) -> DataFrame:
@@ -52,8 +52,8 @@ class SortedLists:
             return (self.doubles[rows] @ q.astype(np.float64)).astype(np.int64)
         return self.x[rows] @ q
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best, and the depth at which the walk ended."""
+    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids and scores of the k best, and the share of the block that was seen when the walk ended."""
         n, up = len(self.ids), q >= 0
         used = np.flatnonzero(q)
         seen = np.zeros(n, bool)
@@ -76,14 +76,14 @@ class SortedLists:
                     ids, best = ids[stay], best[stay]
                 order = np.lexsort((ids, -best))[:k]
                 ids, best = ids[order], best[order]
-            if depth == n:
+            if depth == n or seen.all():
                 break
             edge = np.where(up, self.values[n - depth], self.values[depth - 1])
             if len(ids) >= k and sum(int(a) * int(b) for a, b in zip(q[used], edge[used], strict=True)) < best.min():
                 break
             was, depth = depth, min(n, depth * GROWTH)
         order = np.lexsort((ids, -best))[:k]
-        return ids[order], best[order], depth
+        return ids[order], best[order], float(seen.mean()) if n else 1.0
 
 
 def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
