@@ -62,27 +62,82 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
 
 
-def bleu(pairs: DataFrame, keys: Sequence[str], reference: Column, candidate: Column) -> DataFrame:
-    """Keys and ``bleu``: BLEU-4 of each pair of token arrays, equal weights.
+#: Orders of n-grams that the smoothings use; what stands for a count of 0 without smoothing; their constants.
+ORDERS, LEAST, EPSILON, SHORTER, ALPHA = (1, 2, 3, 4, 5), 2.2250738585072014e-308, 0.1, 5.0, 5.0
 
-    Counts above unigrams are smoothed by one; unigrams aren't, and the score
-    is 0 if none matches.  N-grams are counted as rows, so the work grows with
-    the tokens, not with their square.
+
+def bleu(pairs: DataFrame, keys: Sequence[str], reference: Column, candidate: Column, smoothing: int = 2) -> DataFrame:
+    """Keys and ``bleu``: BLEU-4 of each pair of token arrays, equal weights, with one of the smoothings 0 to 7.
+
+    The score is 0 if no unigram matches.  N-grams are counted as rows, so the
+    work grows with the tokens, not with their square.
     """
     sides = pairs.select(*keys, reference.alias("r"), candidate.alias("c")).withColumns({"lr": F.size("r"), "lc": F.size("c")})
 
     def listed(n, side):
         return F.transform(_grams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
 
-    rows = sides.select(*keys, "lr", "lc", F.explode_outer(F.concat(*(listed(n, side) for n in (1, 2, 3, 4) for side in ("r", "c")))).alias("g"))
+    rows = sides.select(*keys, "lr", "lc", F.explode_outer(F.concat(*(listed(n, side) for n in ORDERS for side in ("r", "c")))).alias("g"))
     counted = rows.groupBy(*keys, "lr", "lc", "g.n", "g.gram").agg(F.least(F.count_if(F.col("g.side") == "r"), F.count_if(F.col("g.side") == "c")).alias("hit"))
-    hits = counted.groupBy(*keys, "lr", "lc").agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("hit"))), F.lit(0)).alias(f"h{n}") for n in (1, 2, 3, 4)))
-    total = lambda n: F.greatest(F.col("lc") - (n - 1), F.lit(0))
-    mean = F.log(F.try_divide("h1", total(1)))
-    for n in (2, 3, 4):
-        mean = mean + F.log((F.col(f"h{n}") + 1) / (total(n) + 1))
+    hits = counted.groupBy(*keys, "lr", "lc").agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("hit"))), F.lit(0)).alias(f"h{n}") for n in ORDERS))
+    p = smoothed([F.col(f"h{n}").cast("double") for n in ORDERS], [F.greatest(F.col("lc") - (n - 1), F.lit(1)).cast("double") for n in ORDERS], F.col("lc"), smoothing)
+    mean = sum((F.log(x) for x in p), F.lit(0.0)) / 4
     brevity = F.when(F.col("lc") >= F.col("lr"), 0.0).otherwise(1 - F.try_divide("lr", "lc"))
-    return hits.select(*keys, F.when((F.col("lc") == 0) | (F.col("h1") == 0), 0.0).otherwise(F.exp(brevity + mean / 4)).alias("bleu"))
+    return hits.select(*keys, F.when((F.col("lc") == 0) | (F.col("h1") == 0), 0.0).otherwise(F.exp(brevity + mean)).alias("bleu"))
+
+
+def smoothed(hits: list[Column], totals: list[Column], length: Column, method: int) -> list[Column]:
+    """Precisions of orders 1 to 4 from hits and totals of orders 1 to 5.
+
+    0 none, 1 a small count for none, 2 one more of each above unigrams, 3 halves
+    for each order without a hit, 4 the same by the candidate's length, 5 the
+    mean with both neighbours, 6 drawn to what the two orders before say, 7 is 4 and then 5.
+    """
+    plain = [h / t for h, t in zip(hits, totals, strict=True)]
+    none = [h == 0 for h in hits[:4]]
+    before = [sum((x.cast("int") for x in none[:i]), F.lit(0)) for i in range(4)]  # orders without a hit so far
+    if method == 0:
+        return [F.when(z, LEAST).otherwise(x) for z, x in zip(none, plain, strict=False)]
+    if method == 1:
+        return [F.when(z, EPSILON / t).otherwise(x) for z, x, t in zip(none, plain, totals, strict=False)]
+    if method == 2:
+        return [plain[0], *((h + 1) / (t + 1) for h, t in list(zip(hits, totals, strict=True))[1:4])]
+    if method == 3:
+        return [F.when(z, 1 / (F.pow(F.lit(2.0), k + 1) * t)).otherwise(x) for z, x, t, k in zip(none, plain, totals, before, strict=False)]
+    if method in (4, 7):
+        halves = [F.when(z & (length > 1), F.log(length.cast("double")) / (F.pow(F.lit(2.0), k + 1) * SHORTER) / t).when(z, LEAST).otherwise(x) for z, x, t, k in zip(none, plain, totals, before, strict=False)]
+        return halves if method == 4 else _averaged([*halves, plain[4]])
+    if method == 5:
+        return _averaged(plain)
+    if method == 6:
+        out = plain[:2]
+        for i in (2, 3):
+            drawn = F.when(out[i - 2] == 0, 0.0).otherwise(out[i - 1] * out[i - 1] / out[i - 2])
+            out.append((hits[i] + ALPHA * drawn) / (totals[i] + ALPHA))
+        return [F.when(x == 0, LEAST).otherwise(x) for x in out]
+    raise ValueError(f"no smoothing {method}")
+
+
+def _averaged(p: list[Column]) -> list[Column]:
+    """The mean of each precision, the one after it, and the averaged one before it (one more than the first for the first)."""
+    out, last = [], p[0] + 1
+    for i in range(4):
+        last = (last + p[i] + p[i + 1]) / 3
+        out.append(last)
+    return out
+
+
+def span_words(blocks: Column, spans: Column) -> Column:
+    """Words of spans (struct<tag, block, first, last>) of ``blocks`` (struct with block_pos and tokens), in order of block and place, each led by ``ans0``, ``sf0`` and so on."""
+    ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["block"], s["first"], s["last"], s["tag"]))), lambda s: s)
+    words = F.map_from_entries(F.transform(blocks, lambda b: F.struct(b["block_pos"], b["tokens"])))
+
+    def one(s, i):
+        number = F.size(F.filter(F.slice(ordered, F.lit(1), i), lambda t: t["tag"] == s["tag"]))
+        mark = F.concat(F.when(s["tag"] == arrays.B, "ans").otherwise("sf"), number.cast("string"))
+        return F.concat(F.array(mark), F.slice(F.try_element_at(words, s["block"]), s["first"] + 1, s["last"] - s["first"] + 1))
+
+    return F.flatten(F.filter(F.transform(ordered, one), lambda x: x.isNotNull()))
 
 
 def pass_rates(df: DataFrame, ks: Sequence[int], n: str = "n", c: str = "c") -> DataFrame:

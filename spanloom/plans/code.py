@@ -119,11 +119,15 @@ def transitive_closure(spark, sf_dir):
 
 
 def location_regex_extract(spark, sf_dir):
-    """Places in messages made of line items."""
+    """Places in messages made of line items: none, one or two, beside one in a folder, which isn't one."""
     lines = read(spark, sf_dir, "lineitem")
     n = lambda c: F.col(c).cast("long").cast("string")
-    message = F.concat(F.lit('see [["x"|"relative:///f_'), n("l_linenumber"), F.lit(".py:"), n("l_quantity"), F.lit(":"), n("l_linenumber"), F.lit(":"), n("l_partkey"), F.lit(":"), n("l_suppkey"), F.lit('"]] and relative:///a/b.py:1:2:3:4'))
-    return lines.select("l_orderkey", "l_linenumber", text.locations(message).alias("x"), text.called_function(message).alias("called")).select("l_orderkey", "l_linenumber", F.size("x").cast("long").alias("n"), F.element_at("x", 1)["sl"].alias("sl"), F.element_at("x", 1)["sc"].alias("sc"), F.element_at("x", 1)["el"].alias("el"), F.element_at("x", 1)["ec"].alias("ec"), "called")
+    place = lambda *cs: F.concat_ws(":", F.concat(F.lit("relative:///f_"), n("l_linenumber"), F.lit(".py")), *(n(c) for c in cs))
+    one = F.concat(F.lit('see [["m.'), n("l_suppkey"), F.lit('"|"'), place("l_quantity", "l_linenumber", "l_partkey", "l_suppkey"), F.lit('"]] and relative:///a/b.py:1:2:3:4'))
+    many = F.col("l_orderkey") % 3
+    message = F.when(many == 0, "nothing is named").when(many == 1, one).otherwise(F.concat(one, F.lit(" or "), place("l_linenumber", "l_suppkey", "l_quantity", "l_partkey")))
+    found = lines.select("l_orderkey", "l_linenumber", text.locations(message).alias("x"), text.called_function(message).alias("called"))
+    return found.select("l_orderkey", "l_linenumber", "called", F.array_join(F.transform("x", lambda s: F.concat_ws(":", s["sl"], s["sc"], s["el"], s["ec"])), ";").alias("places"))
 
 
 def metadata_kv_parse(spark, sf_dir):
@@ -153,7 +157,8 @@ ORACLE_SQL = {
         up AS (SELECT child, parent AS ancestor, 1 AS steps FROM e UNION ALL SELECT u.child, e.parent, u.steps + 1 FROM up u JOIN e ON e.child = u.ancestor)
         SELECT 'places' AS hierarchy, child, ancestor, CAST(min(steps) AS INTEGER) AS steps FROM up GROUP BY ALL""",
     "location_regex_extract": """
-        SELECT l_orderkey, l_linenumber, CAST(1 AS BIGINT) AS n, CAST(l_quantity AS INTEGER) AS sl, l_linenumber AS sc, CAST(l_partkey AS INTEGER) AS el, CAST(l_suppkey AS INTEGER) AS ec, 'x' AS called FROM lineitem""",
+        SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'm.' || l_suppkey END AS called,
+          CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE CAST(l_quantity AS BIGINT) || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey END || CASE WHEN l_orderkey % 3 = 2 THEN ';' || l_linenumber || ':' || l_suppkey || ':' || CAST(l_quantity AS BIGINT) || ':' || l_partkey ELSE '' END AS places FROM lineitem""",
     "metadata_kv_parse": "SELECT doc_id, source || ' x y' AS name, 'late ' || doc_id AS kind, '' AS id, 'NA' AS severity FROM documents",
     "props_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "page_paths": "SELECT page_id, replace(url, '/', '_') AS file_name, string_split(url, '.')[-1] AS last_part, string_split(url, '.')[-2] AS part_before, CAST(page_id AS VARCHAR) AS base FROM pages",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import examples as X
+from ..operators import metrics
 from .labels import label
 from .tables import read
 
@@ -43,7 +44,15 @@ def twostep_concat_match(spark, sf_dir):
     return both.select("conv_id", F.size("predicted_blocks").cast("long").alias("n_predicted"), F.size("target_blocks").cast("long").alias("n_relevant"), F.md5(F.array_join(joined, " ").cast("binary")).alias("input_md5"), same.cast("int").alias("em"))
 
 
-QUERIES = {f.__name__: f for f in (span_examples, relevance_examples, groupwise_examples, twostep_concat_match)}
+def span_words_bleu(spark, sf_dir):
+    """Words of predicted against relevant spans of a conversation, and their BLEU."""
+    both = X.two_step(_blocks(spark, sf_dir), ["conv_id"])
+    words = both.select("conv_id", *(metrics.span_words(F.col(f"{k}_blocks"), X.block_spans(F.col(f"{k}_blocks"))).alias(k) for k in ("predicted", "target")))
+    scored = metrics.bleu(words, ["conv_id"], F.col("target"), F.col("predicted"))
+    return words.join(scored, "conv_id").select("conv_id", F.size("predicted").cast("long").alias("n_predicted"), F.size("target").cast("long").alias("n_target"), F.md5(F.array_join("predicted", " ").cast("binary")).alias("predicted_md5"), (F.col("bleu") > 0).cast("int").alias("any_match"))
+
+
+QUERIES = {f.__name__: f for f in (span_words_bleu, span_examples, relevance_examples, groupwise_examples, twostep_concat_match)}
 
 W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 LABEL = "CASE WHEN regexp_matches(x, '[0-9]') THEN 3 WHEN regexp_matches(x, '^[A-Z]') THEN 0 WHEN length(x) <= 3 THEN 1 ELSE 2 END"
@@ -65,3 +74,12 @@ ORACLE_SQL = {
           md5(coalesce(string_agg(array_to_string(w, ' '), ' [SEP]_ ' ORDER BY turn) FILTER (WHERE predicted OR k = 1), '')) AS input_md5, CAST(conv_id NOT IN (SELECT conv_id FROM x) AS INTEGER) AS em FROM b GROUP BY conv_id""",
 }
 ORACLE_SQL["twostep_concat_match"] = ORACLE_SQL["twostep_concat_match"].replace(LABEL.replace("x", "y"), LABEL.replace("(x,", "(y,").replace("length(x)", "length(y)"))
+ORACLE_SQL["span_words_bleu"] = ORACLE_SQL["twostep_concat_match"].split("x AS (SELECT DISTINCT")[0] + """
+        wd AS (SELECT conv_id, turn, unnest(w) AS y, generate_subscripts(w, 1) AS pos FROM b),
+        np AS (SELECT *, CASE WHEN tag = 0 THEN 'ans' ELSE 'sf' END || (row_number() OVER (PARTITION BY conv_id, tag ORDER BY turn, first) - 1) AS mark FROM p),
+        nq AS (SELECT *, CASE WHEN tag = 0 THEN 'ans' ELSE 'sf' END || (row_number() OVER (PARTITION BY conv_id, tag ORDER BY turn, first) - 1) AS mark FROM q),
+        lp AS (SELECT conv_id, turn, first, 0 AS pos, mark AS y FROM np UNION ALL SELECT np.conv_id, np.turn, np.first, wd.pos, wd.y FROM np JOIN wd ON wd.conv_id = np.conv_id AND wd.turn = np.turn AND wd.pos BETWEEN np.first AND np.last),
+        lq AS (SELECT conv_id, turn, first, 0 AS pos, mark AS y FROM nq UNION ALL SELECT nq.conv_id, nq.turn, nq.first, wd.pos, wd.y FROM nq JOIN wd ON wd.conv_id = nq.conv_id AND wd.turn = nq.turn AND wd.pos BETWEEN nq.first AND nq.last),
+        gp AS (SELECT conv_id, count(*) AS n, string_agg(y, ' ' ORDER BY turn, first, pos) AS s FROM lp GROUP BY conv_id), gq AS (SELECT conv_id, count(*) AS n FROM lq GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gp.n, 0) AS n_predicted, coalesce(gq.n, 0) AS n_target, md5(coalesce(gp.s, '')) AS predicted_md5, CAST(EXISTS (SELECT 1 FROM lp JOIN lq USING (conv_id, y) WHERE lp.conv_id = c.conv_id) AS INTEGER) AS any_match
+        FROM (SELECT DISTINCT conv_id FROM b) c LEFT JOIN gp USING (conv_id) LEFT JOIN gq USING (conv_id)"""

@@ -121,7 +121,14 @@ def size_filter(spark, sf_dir):
     return docs.select("doc_id", F.size(text.words(F.col("text"))).cast("long").alias("file_tokens")).filter("file_tokens < 700")
 
 
-QUERIES = {f.__name__: f for f in (sanitize_content, block_content_concat, content_md5_id, group_identity_dedup, ambiguity_label_merge, results_merge, left_anti_rejects, semi_join_sample, neg_downsample_3to1, adaptive_negatives, contiguous_splits, file_level_groups, block_relevance_merge, example_union, querywise_stat, span_collection, size_filter)}
+def query_size_filter(spark, sf_dir):
+    """Documents of a language within the size of its split: 3000 words in tests (ids divisible by ten), 1000 in training."""
+    docs = read(spark, sf_dir, "documents").filter("lang = 'fr'")
+    sized = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"), F.size(text.words(F.col("text"))).cast("long").alias("file_tokens"))
+    return sized.filter(F.col("file_tokens") < F.when(F.col("split") == "test", 3000).otherwise(1000))
+
+
+QUERIES = {f.__name__: f for f in (query_size_filter, sanitize_content, block_content_concat, content_md5_id, group_identity_dedup, ambiguity_label_merge, results_merge, left_anti_rejects, semi_join_sample, neg_downsample_3to1, adaptive_negatives, contiguous_splits, file_level_groups, block_relevance_merge, example_union, querywise_stat, span_collection, size_filter)}
 
 CLEAN = "array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) || chr(10)"
 WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -173,5 +180,6 @@ ORACLE_SQL = {
         WITH t AS (SELECT conv_id, turn, {WORDS} AS w FROM conversations WHERE role = 'assistant'),
         a AS (SELECT conv_id, flatten(list(w ORDER BY turn)) AS w FROM t GROUP BY conv_id)
         SELECT conv_id, CAST(len(w) AS BIGINT) AS n_spans, md5(CASE WHEN len(w) > 0 THEN array_to_string(w, ':::-:::') ELSE 'N/A' END) AS spans_md5 FROM a""",
+    "query_size_filter": f"SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, CAST(len({WORDS}) AS BIGINT) AS file_tokens FROM documents WHERE lang = 'fr' AND len({WORDS}) < CASE WHEN doc_id % 10 = 0 THEN 3000 ELSE 1000 END",
     "size_filter": f"SELECT doc_id, CAST(len({WORDS}) AS BIGINT) AS file_tokens FROM documents WHERE lang = 'en' AND len({WORDS}) < 700",
 }
