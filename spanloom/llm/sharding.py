@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Groups above a 1/BIG of a fair share are scheduled alone; bundles of the others; blocks in which a shard's slots are numbered.
-BIG, BUNDLES, BLOCKS = 64, 16_384, 256
+#: Groups above a 1/BIG of a fair share are scheduled alone; bundles of the others; rows aimed at in a
+#: block in which a shard's slots are numbered, and blocks of a shard at most.
+BIG, BUNDLES, BLOCK_ROWS, BLOCKS = 64, 16_384, 100_000, 16_384
 
 
 def schedule(sizes: list[tuple], shards: int) -> dict:
@@ -42,7 +43,8 @@ def shard(docs: DataFrame, shards: int, overhead: int = 8, id_col: str = "doc_id
     """doc_id, size, text_crc32, shard and slot of every row; sizes of shards are near equal, rows of equal text stay together."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp")), "shard")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    numbered = max(1, min(BLOCKS, -(-n // (shards * BLOCK_ROWS))))
     groups = rows.groupBy("grp").agg(F.sum("size").alias("size"), F.pmod(F.xxhash64("grp"), F.lit(BUNDLES)).cast("int").alias("bundle"))
     big = F.col("size") * (BIG * shards) > total
     alone = [(bytes(r[0]), r[1]) for r in groups.filter(big).select("grp", "size").collect()]  # fewer than BIG * shards
@@ -55,7 +57,7 @@ def shard(docs: DataFrame, shards: int, overhead: int = 8, id_col: str = "doc_id
         rows.withColumn("bundle", F.pmod(F.xxhash64("grp"), F.lit(BUNDLES)).cast("int"))
         .join(F.broadcast(by_group), "grp", "left")
         .join(F.broadcast(by_bundle), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", "grp", F.coalesce("own", "common").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)).cast("int").alias("block"))
+        .select("doc_id", "size", "text_crc32", "grp", F.coalesce("own", "common").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(numbered)).cast("int").alias("block"))
     )
     counts = sorted((r[0], r[1], r[2]) for r in put.groupBy("shard", "block").count().collect())  # at most shards * BLOCKS
     first, at, was = [], 0, None

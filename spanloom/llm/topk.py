@@ -13,7 +13,8 @@ each pair are merged by id of the query.  No side is broadcast.
 Cases: vectors that are null, or hold null or non-finite components, take no
 part; vectors of different lengths don't meet; a row of the query's own id is
 no candidate, repeated rows included; repeated candidate rows count once for
-each row; an empty table gives no row.
+each row; repeated query rows ask once, and an id with several vectors gets the
+best of all; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col:
     sizes = rows.agg(F.count("*"), F.count_if("asks")).first()
     blocks, asked = max(1, -(-sizes[0] // CANDIDATES)), max(1, -(-sizes[1] // QUERIES))
     c = rows.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("qb"))
-    q = rows.filter("asks").select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
+    q = rows.filter("asks").dropDuplicates(["dim", "vec_id", "v"]).select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
 
     def meet(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -60,6 +60,22 @@ def test_syncmers(spark, rows):
         assert r["near_next"] == syncmers.likeness(syncmers.fingerprint(text), syncmers.fingerprint(after))
 
 
+def test_syncmers_of_repeated_ids_and_in_blocks(spark, monkeypatch):
+    rng = random.Random(14)
+    many = [(5, words(rng, 30), "s"), (5, words(rng, 30), "s"), (5, words(rng, 30), "s"), (9, words(rng, 30), "s"), (1, words(rng, 30), "s")]
+    got = syncmers.against_next(table(spark, many)).collect()
+    texts = {syncmers.fingerprint(t): t for _, t, _ in many}
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in got) == Counter((i, syncmers.fingerprint(t)) for i, t, _ in many)
+    follow = {hashlib.sha256(syncmers.edited(a, b).encode()).hexdigest(): (a, b) for a in texts.values() for b in texts.values()}
+    chain = [follow[r["edited_sha256"]] for r in got]
+    assert sorted(a for a, _ in chain) == sorted(b for _, b in chain) == sorted(texts.values())  # each is the next of one
+    long = words(rng, 4000)
+    whole = syncmers.anchors(long)
+    monkeypatch.setattr(syncmers, "BLOCK", 1000)
+    cut = syncmers.anchors(long)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
 def test_closed_syncmers_by_definition():
     text = words(random.Random(1), 50)
     k, s = syncmers.K, syncmers.S
@@ -267,6 +283,11 @@ def test_topk(spark):
         assert got.pop(q) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert not got
     assert topk.top_k(df.filter("false"), 10, F.lit(True)).count() == 0
+    # repeated query rows ask once; as candidates they are two rows
+    v[200] = v[1] * 3  # among the best of 100
+    many = spark.createDataFrame([(i, x.tolist()) for i, x in v.items() if len(x) == 8 for _ in range(2 if i in (100, 200) else 1)], "vec_id long, v array<long>").selectExpr("vec_id", "transform(v, x -> x / 1024D) AS embedding")
+    best = sorted((-int(v[100] @ x), i) for i, x in v.items() if i != 100 and len(x) == 8 for _ in range(2 if i == 200 else 1))[:10]
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(many, 10, F.col("vec_id") == 100).orderBy("rank").collect()] == [(i, -x) for x, i in best]
 
 
 def test_threshold_algorithm_stops_early():
