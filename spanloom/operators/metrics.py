@@ -11,8 +11,8 @@ from ..functions import arrays, maths, text
 
 
 def exact_match(df: DataFrame, target: Column, predicted: Column, kind: str = "both") -> DataFrame:
-    """``em``: 1 if the spans of both label arrays are the same set."""
-    return df.withColumn("em", arrays.same_set(arrays.of_kind(arrays.spans(target), kind), arrays.of_kind(arrays.spans(predicted), kind)).cast("int"))
+    """``em``: 1 if the spans of both label arrays are the same set.  Spans of an array are distinct and in order, so equal arrays are equal sets."""
+    return df.withColumn("em", (arrays.of_kind(arrays.spans(target), kind) == arrays.of_kind(arrays.spans(predicted), kind)).cast("int"))
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:

@@ -32,21 +32,15 @@ def _labels(spark, sf_dir):
 
 
 def bio_spans(spark, sf_dir):
-    """Every span of every document: tag, first and last word."""
-    found = _labels(spark, sf_dir).select("doc_id", F.posexplode("labels").alias("pos", "label"))
-    return spans.runs(found, ["doc_id"]).select("doc_id", "tag", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    """Every span of every document: tag, first and last word.  No shuffle: a document's labels are one array."""
+    found = _labels(spark, sf_dir).select("doc_id", arrays.spans(F.col("labels")).alias("s"))
+    return found.select("doc_id", F.explode_outer("s").alias("s")).filter("s IS NOT NULL").select("doc_id", "s.*")
 
 
 def span_exact_match(spark, sf_dir):
-    """Documents whose guessed spans are the labelled ones, by kind of span and language and for all.
-
-    Spans are compared as rows: guessed and labelled runs of each document meet in one full outer join.
-    """
-    rows = _labels(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.arrays_zip("labels", "guessed")).alias("pos", "x"))
-    runs = lambda c: spans.runs(rows.select("doc_id", "pos", F.col("x")[c].alias("label")), ["doc_id"]).withColumn(c, F.lit(1))
-    both = runs("labels").join(runs("guessed"), ["doc_id", "tag", "first", "last"], "full")
-    wrong = both.groupBy("doc_id").agg(*(F.max(F.when(F.col("tag").isin(*tags) & (F.col("labels").isNull() | F.col("guessed").isNull()), 1).otherwise(0)).alias(k) for k, tags in (("both", (0, 3)), ("answer", (0,)), ("sf", (3,)))))
-    per = read(spark, sf_dir, "documents").select("doc_id", "lang").join(wrong, "doc_id", "left").select("lang", *(F.when(F.col(k) == 1, 0).otherwise(1).alias(f"em_{k}") for k in ("both", "answer", "sf")))
+    """Documents whose guessed spans are the labelled ones, by kind of span and language and for all."""
+    found = _labels(spark, sf_dir).select("lang", arrays.spans(F.col("labels")).alias("t"), arrays.spans(F.col("guessed")).alias("p"))
+    per = found.select("lang", *((arrays.of_kind(F.col("t"), k) == arrays.of_kind(F.col("p"), k)).cast("int").alias(f"em_{k}") for k in ("both", "answer", "sf")))
     return metrics.mean_by(per, ["lang"], "em_both", "em_answer", "em_sf").select("lang", F.col("all_rows").cast("int").alias("all_rows"), "n", "em_both", "em_answer", "em_sf")
 
 

@@ -44,6 +44,14 @@ def test_label_arrays(spark):
         assert r["g"] == [0] * at + [1] * (len(r["l"]) - at)
 
 
+def test_runs_of_rows_are_those_of_arrays(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.choice([0, 1, 1, 2, 3, 4]) for _ in range(rng.randrange(0, 15))]) for i in range(60)]
+    long = spark.createDataFrame([(i, p, x) for i, ls in rows for p, x in enumerate(ls)], "k int, pos int, label int")
+    got = sorted((r["k"], r["tag"], r["first"], r["last"]) for r in spans.runs(long, ["k"]).collect())
+    assert got == sorted((i, *s) for i, ls in rows for s in naive_spans(ls))
+
+
 def test_exact_match_by_kind(spark):
     df = spark.createDataFrame([([0, 1, 2, 3], [0, 1, 2, 2]), ([2, 2], [2, 2]), ([0, 2, 3, 1], [0, 2, 3, 1])], "t array<int>, p array<int>")
     got = {k: [r["em"] for r in metrics.exact_match(df, F.col("t"), F.col("p"), k).collect()] for k in ("both", "answer", "sf")}
