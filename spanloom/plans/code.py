@@ -72,16 +72,22 @@ if __name__ == "__main__":
     "empty.py": "",
 }
 FINDINGS = [
-    (1, "Unused import", "shapes.py", "", (1, 0, 1, 20), [("Used import", "Global Variable os ::: is used.", 38, 7, 38, 9)]),
-    (2, "`__eq__` not overridden when adding attributes", "shapes.py", "", (20, 0, 20, 19), []),
-    (3, "`__init__` method calls overridden method", "shapes.py", "", (11, 8, 11, 20), []),
-    (4, "Missing call to `__init__` during object initialization", "shapes.py", "", (20, 0, 20, 19), []),
-    (5, "Comparison using is when operands support `__eq__`", "shapes.py", "class Square:::is", (37, 15, 37, 50), []),
+    (1, "Unused import", "shapes.py", "", (1, 0, 1, 20), [("Used import", "Global Variable os ::: is used.", 41, 7, 41, 9)]),
+    (2, "`__eq__` not overridden when adding attributes", "shapes.py", "", (21, 0, 21, 19), []),
+    (3, "`__init__` method calls overridden method", "shapes.py", "", (12, 8, 12, 20), []),
+    (4, "Missing call to `__init__` during object initialization", "shapes.py", "", (21, 0, 21, 19), []),
+    (5, "Comparison using is when operands support `__eq__`", "shapes.py", "class Square:::is", (40, 15, 40, 50), []),
     (6, "Flask app is run in debug mode", "app.py", "", (11, 4, 11, 23), []),
-    (7, "Wrong number of arguments in a class instantiation", "shapes.py", "relative:///shapes.py:25:5:26:25", (35, 15, 35, 31), []),
+    (7, "Wrong number of arguments in a class instantiation", "shapes.py", "relative:///shapes.py:22:1:32:25", (37, 15, 37, 31), []),
     (8, "Redundant assignment", "old.py", "", (1, 4, 1, 9), []),
-    (9, "Inconsistent equality and hashing", "shapes.py", "implements __eq__ but not __hash__.", (16, 4, 17, 39), []),
+    (9, "Inconsistent equality and hashing", "shapes.py", "implements __eq__ but not __hash__.", (17, 4, 18, 39), []),
     (10, "`__iter__` method returns a non-iterator", "shapes.py", "no class here", (0, 0, 0, 3), []),
+    (11, "Use of the return value of a procedure", "shapes.py", "", (40, 15, 40, 29), [("Used function call map", '[["make"|"relative:///shapes.py:36:1:39:25"]]', 41, 16, 41, 29)]),
+    (12, "Wrong number of arguments in a call", "shapes.py", "", (37, 15, 37, 31), [("Function call map", '[["Square.__init__"|"relative:///shapes.py:25:5:26:24"]]', 38, 16, 38, 31)]),
+    (13, "Non-callable called", "shapes.py", "builtin-class list:::Call to a [[x]].", (37, 15, 37, 31), []),
+    (14, "Signature mismatch in overriding method", "shapes.py", "", (27, 4, 28, 21), []),
+    (15, "Conflicting attributes in base classes", "shapes.py", "'setup': in both", (21, 0, 21, 19), []),
+    (16, "Incomplete ordering", "shapes.py", "", (21, 0, 21, 19), []),
 ]
 HIERARCHY = [("g", "D", ["B", "C"]), ("g", "B", ["A"]), ("g", "C", ["A"]), ("g", "A", []), ("g", "E", ["D", "Outside"]), ("c", "X", ["Y"]), ("c", "Y", ["X"]), ("o", "P", ["object"])]
 

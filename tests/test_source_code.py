@@ -263,3 +263,32 @@ def test_all_blocks_follow():
     f = rules.Finding(p, line("pass"), 0, line("pass"), 4)
     got = rules.with_all_blocks(rules.context("Redundant assignment", f)[0], p)
     assert len(got) == len(p.blocks) and [b.relevant for b in got] == [True] + [False] * (len(got) - 1)
+
+
+def test_the_query_s_findings():
+    """Contexts of the registered query's findings, relevant blocks with a star."""
+    from spanloom.plans import code
+
+    got = {}
+    for i, query, path, message, span, aux in code.FINDINGS:
+        f = rules.Finding(Program(code.FILES[path]), *span, message, [rules.Aux(*a) for a in aux])
+        found, why = rules.context(query, f)
+        got[i] = why or " ".join(b.metadata.removeprefix("root.") + "*" * b.relevant for b in found)
+    assert got == {
+        1: "Shape.__init__ Shape.setup Shape.__eq__ Square.__init__ Square.setup Square.area make Shape Square root*",
+        2: "Shape.__init__* Shape.setup Shape.__eq__* Square.__init__* Square.setup Square.area Shape Square*",
+        3: "Square.__init__ Square.setup* Square.area Square Shape.__init__* Shape.setup Shape.__eq__ Shape",
+        4: "Shape.__init__* Square.__init__* Square*",
+        5: "root* Square.__init__ Square.setup Square.area Square Shape.__eq__*",
+        6: "root*",
+        7: "make* Square.__init__* Square.setup Square.area Square",
+        8: "f*",
+        9: "Shape.__init__ Shape.setup Shape.__eq__* Shape",
+        10: "generic: the message names no class",
+        11: "root* make*",
+        12: "make* Square.__init__*",
+        13: "make* list.__call__* list",
+        14: "Square.__init__* Square.setup* Square.area Square Shape.__init__* Shape.setup* Shape.__eq__ Shape",
+        15: "Square* Shape.__init__* Shape.setup* Shape.__eq__ Shape",
+        16: "Square.__init__ Square.setup Square.area Square*",
+    }
