@@ -78,7 +78,7 @@ def _pair_sql() -> str:
         f"WITH {BM25}, p AS (SELECT item_id, doc_id, rank, {WORDS.format('b.text')} AS r, {WORDS.format('d2.text')} AS c FROM r JOIN benchmark b USING (item_id) JOIN documents d2 USING (doc_id) WHERE rank <= 10), "
         f"gr AS (SELECT item_id, doc_id, n, g, count(*) AS k FROM ({grams('r')}) GROUP BY ALL), gc AS (SELECT item_id, doc_id, n, g, count(*) AS k FROM ({grams('c')}) GROUP BY ALL), "
         "u AS (SELECT item_id, doc_id, n, sum(least(gr.k, gc.k)) AS h FROM gr JOIN gc USING (item_id, doc_id, n, g) GROUP BY ALL), "
-        f"h AS (SELECT p.item_id, p.doc_id, p.rank, len(r) AS lr, len(c) AS lc, {', '.join(f'coalesce((SELECT h FROM u WHERE u.item_id = p.item_id AND u.doc_id = p.doc_id AND n = {n}), 0) AS h{n}, greatest(len(c) - {n - 1}, 0) AS t{n}' for n in (1, 2, 3, 4))} FROM p), "
+        f"h AS (SELECT p.item_id, p.doc_id, p.rank, len(r) AS lr, len(c) AS lc, {', '.join(f'coalesce((SELECT h FROM u WHERE u.item_id = p.item_id AND u.doc_id = p.doc_id AND n = {n}), 0) AS h{n}, greatest(len(c) - {n - 1}, 1) AS t{n}' for n in (1, 2, 3, 4))} FROM p), "
         "x AS (SELECT item_id, doc_id, rank, CASE WHEN lc = 0 OR h1 = 0 THEN 0.0 ELSE exp((CASE WHEN lc >= lr THEN 0.0 ELSE 1 - lr / lc END) + (ln(h1 / t1) + ln((h2 + 1) / (t2 + 1)) + ln((h3 + 1) / (t3 + 1)) + ln((h4 + 1) / (t4 + 1))) / 4) END AS bleu FROM h)"
     )
 

@@ -137,7 +137,7 @@ def test_bleu(spark):
     for i, r, c in rows:
         grams = lambda t, n: Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
         h = [sum((grams(c, n) & grams(r, n)).values()) for n in (1, 2, 3, 4)]
-        total = [max(len(c) - n + 1, 0) for n in (1, 2, 3, 4)]
+        total = [max(len(c) - n + 1, 1) for n in (1, 2, 3, 4)]
         want = 0.0 if not c or not h[0] else math.exp((0 if len(c) >= len(r) else 1 - len(r) / len(c)) + (math.log(h[0] / total[0]) + sum(math.log((h[n] + 1) / (total[n] + 1)) for n in (1, 2, 3))) / 4)
         assert abs(got[i] - want) < 1e-9
 
