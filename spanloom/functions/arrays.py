@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 B, I, O, F_, PAD = 0, 1, 2, 3, 4  # noqa: E741
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` and its lambdas read it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def first_separator(labels: Column) -> Column:
     """Index (0-based) of the first 4 that isn't followed by a 4; null without one.  The last place has no successor and doesn't count."""
     at = F.array_position(F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x, i: (x == PAD) & (F.get(labels, i + 1) != PAD)), True)
@@ -86,6 +91,11 @@ def line_list(start: Column, end: Column, others: Column) -> Column:
     return F.when(F.size(others) > 0, others).otherwise(F.sequence(start, end))
 
 
+def cut_every(lines: Column, size: int) -> Column:
+    """Arrays (one a line) in blocks of ``size`` lines, each as one array."""
+    return let(lines, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda k: F.flatten(F.slice(x, k * size + 1, size))))
+
+
 def best_label(scores: Column) -> Column:
     """Index of the first largest value."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

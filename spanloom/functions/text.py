@@ -34,6 +34,12 @@ def pieces(text: Column) -> Column:
     return F.split(text, " ")
 
 
+def piece_ends(text: Column) -> Column:
+    """The end (exclusive) of each of the ``pieces``: the places of the spaces, and the end of the text.  One pass over the characters."""
+    spaces = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
+    return F.concat(spaces, F.array(F.length(text)))
+
+
 def joined_spans(spans: Column) -> Column:
     """Spans as one text, or the mark for none."""
     return F.when(F.size(spans) > 0, F.array_join(spans, SPAN_SEPARATOR)).otherwise(NO_SPAN)

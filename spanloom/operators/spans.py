@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
+
 
 def _one_way(a: Column, b: Column) -> Column:
     lines = a["el"].between(b["sl"], b["el"]) | a["sl"].between(b["sl"], b["el"])
@@ -65,6 +67,31 @@ def labelled_tokens(tokens: DataFrame, spans: DataFrame, keys: Sequence[str]) ->
     return joined.withColumn("label", F.when(F.col("__origin").isNull(), 2).when(outside, F.col("__origin")).otherwise(1)).drop("__origin")
 
 
+def token_origins(tokens: Column, spans: Column) -> Column:
+    """For each token (array of span structs) the origin of the span that holds it, of the largest rank; null outside.
+
+    ``spans``: struct<span, rank, origin>, those that touch the tokens' lines.
+    """
+    found = lambda marks, t: F.array_max(F.transform(F.filter(marks, lambda m: covers(m["span"], t)), lambda m: F.struct(m["rank"], m["origin"])))
+    return arrays.let(spans, lambda marks: F.transform(tokens, lambda t: found(marks, t)["origin"]))
+
+
+def origin_labels(origins: Column) -> Column:
+    """Labels of a file's tokens as arrays, one a line, from their origins: as ``labelled_tokens`` gives them, without a shuffle.  No line is empty."""
+
+    def line(file, own, k):
+        before = lambda i: F.when(i > 0, F.get(own, i - 1)).otherwise(F.try_element_at(F.get(file, k - 1), F.lit(-1)))
+        return F.transform(own, lambda x, i: F.when(x.isNull(), 2).when(before(i).isNull(), x).otherwise(1))
+
+    return arrays.let(origins, lambda file: F.transform(file, lambda own, k: line(file, own, k)))
+
+
+def unusable(labels: Column, positive: Column) -> Column:
+    """Why a file with these labels isn't usable, null if it is: positives need a result's first token, negatives must have none and nothing inside."""
+    first, inside = F.array_contains(labels, 0), F.array_contains(labels, 1)
+    return F.when(positive, F.when(~first, "no answer labelled")).otherwise(F.when(first | inside, "answer in a negative"))
+
+
 def usable_labels(labelled: DataFrame, keys: Sequence[str], positive: Column) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected) files: positives need a result's first token, negatives must have none and nothing inside."""
     found = labelled.groupBy(*keys).agg(F.max((F.col("label") == 0).cast("int")).alias("b"), F.max((F.col("label") == 1).cast("int")).alias("i"), F.first(positive).alias("positive"))
