@@ -50,7 +50,7 @@ def ends(line):
     return out
 
 
-@pytest.mark.parametrize("name", ["block_labels", "token_span_labels"])
+@pytest.mark.parametrize("name", ["block_labels", "token_span_labels", "usable_files"])
 def test_labelled_documents_are_not_shuffled(spark, tmp_path, name):
     assert "Exchange" not in plan(registry.QUERIES[name](spark, documents(spark, tmp_path, ["a b\nc", "d"])))
 
