@@ -23,11 +23,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: the plan is cut and a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, parts: int = 0) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back: the plan is cut and a lost executor costs no recomputation.
+
+    Its shuffles have ``parts`` partitions, if the session has fewer.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, key = new_path(spark, name), "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(key)
+    if parts > int(usual):
+        spark.conf.set(key, str(parts))
+    try:
+        df.write.parquet(path)
+    finally:
+        if parts > int(usual):
+            spark.conf.set(key, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
