@@ -9,6 +9,7 @@ from ..functions import text
 from ..functions.maths import expected_best
 from ..operators import metrics
 from ..operators import retrieval as R
+from ..operators.lineage import materialize
 from .tables import read
 
 
@@ -30,10 +31,11 @@ def prompt_render(spark, sf_dir):
     """A few-shot prompt for each benchmark item from its best document."""
     best = _ranked(spark, sf_dir, 1)
     items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    joined = best.join(items.withColumnRenamed("text", "query"), "item_id").join(docs.select("doc_id", "text", "lang", "source"), "doc_id")
+    # the few best go to the documents, which aren't shuffled
+    joined = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(best.join(items.withColumnRenamed("text", "query"), "item_id")), "doc_id")
     shot = R.shot(text.sanitized(F.col("text")), text.joined_spans(F.filter(F.array("lang", "source"), lambda x: x != "en")))
     made = joined.select("item_id", "doc_id", R.few_shot(F.concat(F.lit("q"), F.col("item_id").cast("string")), F.lit("find it"), F.array(shot), text.sanitized(F.col("query"))).alias("prompt"))
-    kept, long = R.within_limit(made, F.size(text.words(F.col("prompt"))))
+    kept, long = R.within_limit(materialize(made, "prompts"), F.size(text.words(F.col("prompt"))))
     out = kept.withColumn("status", F.lit("ok")).unionByName(long.withColumnRenamed("error_type", "status"))
     return out.select("item_id", "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "status", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
@@ -41,7 +43,7 @@ def prompt_render(spark, sf_dir):
 def _pairs(spark, sf_dir):
     best = _ranked(spark, sf_dir, 10)
     items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    joined = best.join(items.withColumnRenamed("text", "query"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(best.join(items.withColumnRenamed("text", "query"), "item_id")), "doc_id")
     return metrics.bleu(joined, ["item_id", "doc_id", "rank"], text.words(F.col("query")), text.words(F.col("text")))
 
 
