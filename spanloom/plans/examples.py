@@ -47,9 +47,9 @@ def twostep_concat_match(spark, sf_dir):
 def span_words_bleu(spark, sf_dir):
     """Words of predicted against relevant spans of a conversation, and their BLEU."""
     both = X.two_step(_blocks(spark, sf_dir), ["conv_id"])
-    words = both.select("conv_id", *(metrics.span_words(F.col(f"{k}_blocks"), X.block_spans(F.col(f"{k}_blocks"))).alias(k) for k in ("predicted", "target")))
-    scored = metrics.bleu(words, ["conv_id"], F.col("target"), F.col("predicted"))
-    return words.join(scored, "conv_id").select("conv_id", F.size("predicted").cast("long").alias("n_predicted"), F.size("target").cast("long").alias("n_target"), F.md5(F.array_join("predicted", " ").cast("binary")).alias("predicted_md5"), (F.col("bleu") > 0).cast("int").alias("any_match"))
+    words = both.select("conv_id", *(metrics.block_span_words(F.col(f"{k}_blocks")).alias(k) for k in ("predicted", "target")))
+    scored = metrics.bleu(words, ["conv_id", "predicted", "target"], F.col("target"), F.col("predicted"))
+    return scored.select("conv_id", F.size("predicted").cast("long").alias("n_predicted"), F.size("target").cast("long").alias("n_target"), F.md5(F.array_join("predicted", " ").cast("binary")).alias("predicted_md5"), (F.col("bleu") > 0).cast("int").alias("any_match"))
 
 
 QUERIES = {f.__name__: f for f in (span_words_bleu, span_examples, relevance_examples, groupwise_examples, twostep_concat_match)}
