@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import arrays, text
-from spanloom.operators import block_data, spans
+from spanloom.operators import block_data, metrics, retrieval, spans
 from spanloom.plans import registry
 from spanloom.plans import labels as L
 
@@ -62,3 +62,55 @@ def test_blocks_of_lines(spark):
     tokens, labels = block_data.behind_header(F.array(F.lit("in"), F.lit("b")), F.array(F.lit("x")), F.array(F.lit(0)))
     assert tuple(df.select(tokens, labels).first()) == (["in", "b", "x"], [2, 2, 0])
     assert [r[0] for r in spark.createDataFrame([("a  bé",), ("",), (" ",)], "t string").select(text.piece_ends(F.col("t"))).collect()] == [[1, 2, 5], [0], [0, 1]]
+
+
+def naive_span_words(blocks):
+    found, n, out = [], {0: 0, 3: 0}, []
+    for pos, tokens, labels in blocks:
+        at = None
+        for i, x in enumerate([*labels, 2]):
+            if x != 1:
+                if at is not None:
+                    found.append((pos, at, labels[at], tokens[at:i]))
+                at = i if x in (0, 3) else None
+    for _, _, tag, words in sorted(found, key=lambda s: s[:2]):
+        out += [("ans" if tag == 0 else "sf") + str(n[tag]), *words]
+        n[tag] += 1
+    return out
+
+
+def test_span_words_of_blocks(spark):
+    rng = random.Random(22)
+    rows = [([(b, [f"w{rng.randrange(9)}" for _ in range(n)], [rng.choice([0, 1, 1, 2, 3]) for _ in range(n)]) for b in rng.sample(range(20), 5) for n in [rng.randrange(0, 9)]],) for _ in range(30)]
+    df = spark.createDataFrame(rows, "b array<struct<block_pos:int,tokens:array<string>,labels:array<int>>>")
+    assert [r[0] for r in df.select(metrics.block_span_words(F.col("b"))).collect()] == [naive_span_words(b) for (b,) in rows]
+
+
+def test_bleu_keeps_pairs_as_rows(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], ["a"]), (2, None, ["a"])], "i int, r array<string>, c array<string>")
+    got = metrics.bleu(df, ["i"], F.col("r"), F.col("c"))
+    assert "Exchange" not in plan(got) and {r["i"]: r["bleu"] > 0 for r in got.collect()} == {1: True, 2: False}
+
+
+@pytest.mark.parametrize("held", [1, 7, 10**6])
+def test_bm25_in_slices(spark, monkeypatch, held):
+    """However few products a task holds, and with ties that it can't see at once, the documents are those of all scores."""
+    rng = random.Random(23)
+    corpus = [(f"d{i:02}", None if i == 7 else [rng.choice("abcd") for _ in range(rng.randrange(1, 4))]) for i in range(60)]
+    queries = [(i, [rng.choice("abcdz") for _ in range(rng.randrange(0, 5))]) for i in range(9)]
+    q, c = spark.createDataFrame(queries, "item_id int, tokens array<string>"), spark.createDataFrame(corpus, "doc_id string, tokens array<string>").repartition(3)
+    monkeypatch.setattr(retrieval, "HELD", held)
+    monkeypatch.setattr(retrieval, "FEW", 5)
+    whole = retrieval.bm25(q, c, 60).collect()
+    got = retrieval.bm25(q, c, 3)
+    assert len(whole) == 9 * 60
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in whole if r["rank"] <= 3)
+    places = sorted(whole, key=lambda r: (r["item_id"], r["rank"]))
+    assert places == sorted(whole, key=lambda r: (r["item_id"], -r["score"], r["doc_id"]))
+
+
+def test_best_documents_meet_theirs_without_a_shuffle(spark, tmp_path):
+    d = documents(spark, tmp_path, ["a b c", "a b", "c d e f"])
+    table(spark, tmp_path, "benchmark", [(1, "a b"), (2, "c d")], "item_id long, text string")
+    found = registry.QUERIES["bleu_pairs"](spark, d)
+    assert "SortMergeJoin" not in plan(found) and found.count() == 6
