@@ -15,7 +15,8 @@ def splits(df: DataFrame, path: str, key: str, k: int) -> None:
 
 
 def csv(df: DataFrame, path: str, mode: str = "append", header: bool = False) -> None:
-    df.write.mode(mode).options(header=header, quote='"', escape='"', emptyValue="").csv(path)
+    """Cells as they are: white space at their ends stays (Spark cuts it off unless told)."""
+    df.write.mode(mode).options(header=header, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def prompt_files(df: DataFrame, path: str, name: str, text: str, separator: str = "\x00") -> None:
