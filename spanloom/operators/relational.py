@@ -45,6 +45,11 @@ def merged_relevance(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return blocks.filter("block_type <> 'STUB'").groupBy(*keys).agg(F.bool_or("relevant").alias("relevant"))
 
 
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` by its keys in ``parts`` partitions, or as many as the session has, if those are more."""
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def merged_groups(groups: DataFrame) -> DataFrame:
     """Groups of one ``group_id`` become the first (by ``order``); its labels of 2 take the first other label at their place.
 

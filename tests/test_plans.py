@@ -1,5 +1,6 @@
 """Registered queries and their operators: nothing that grows with the input is gathered, and results are those of the long forms."""
 
+import hashlib
 import random
 
 import pytest
@@ -114,3 +115,29 @@ def test_best_documents_meet_theirs_without_a_shuffle(spark, tmp_path):
     table(spark, tmp_path, "benchmark", [(1, "a b"), (2, "c d")], "item_id long, text string")
     found = registry.QUERIES["bleu_pairs"](spark, d)
     assert "SortMergeJoin" not in plan(found) and found.count() == 6
+
+
+def test_cells_keep_white_space(spark, tmp_path):
+    """Messages that end in spaces or line breaks come back from CSV as they were."""
+    d = documents(spark, tmp_path, ["", "", "a ", "a\n\nb", "a\t\n ", "\ra\r", '"', "a"])
+    got = {r["path"]: r["message_md5"] for r in registry.QUERIES["csv_results_scan"](spark, d).collect()}
+    texts = {i: "\n".join(t.split("\n")[:2]) for i, t in enumerate(["", "", "a ", "a\n\nb", "a\t\n ", "\ra\r", '"', "a"])}
+    assert got == {f"repo/f{i}.py": hashlib.md5(f'say "a", en\n{t}'.encode()).hexdigest() for i, t in texts.items() if i % 7}
+
+
+def test_merged_block_groups(spark, monkeypatch):
+    """The first group's labels with the first other label for a 2, of blocks held once or twice, however many tasks there are."""
+    monkeypatch.setattr(block_data, "ROWS", 20)
+    rng = random.Random(24)
+    rows = [("q", "p", g, rng.choice("abc"), [rng.choice([0, 1, 2, 2]) for _ in range(2)]) for g in range(40) for _ in range(rng.randrange(1, 4))]
+    got = block_data.merged_block_groups(spark.createDataFrame(rows, "query string, path string, grp long, block_id string, labels array<int>"), "query", "path", "grp")
+    held = {}
+    for _, _, g, b, x in rows:
+        held.setdefault(g, {})[b] = min(x, held.get(g, {}).get(b, x))
+    want = {}
+    for g, bs in sorted(held.items()):
+        for b, x in bs.items():
+            first, labels = want.get((frozenset(bs), b), (g, x))
+            want[frozenset(bs), b] = first, [new if old == 2 else old for old, new in zip(labels, x, strict=True)]
+    assert sorted((r["first"], r["block_id"], r["labels"]) for r in got.collect()) == sorted((f, b, x) for (_, b), (f, x) in want.items())
+    assert "SortMergeJoin" not in plan(got)
