@@ -56,6 +56,32 @@ def test_labelled_documents_are_not_shuffled(spark, tmp_path, name):
     assert "Exchange" not in plan(registry.QUERIES[name](spark, documents(spark, tmp_path, ["a b\nc", "d"])))
 
 
+def naive_labels(t):
+    """Labels of a document's words, from the columns of the three spans in every four lines."""
+    origins = []
+    for n, line in enumerate(t.split("\n")):
+        for x, ec in zip(line.split(" "), ends(line), strict=True):
+            sc = ec - len(x)
+            rules = ([(sc >= 5, 0)], [(sc >= 4 and ec <= 30, 3), (ec <= 12, 0)], [(ec <= 25, 0)], [])[n % 4]
+            origins.append(next((o for hit, o in rules if hit), None))
+    return [2 if o is None else 1 if i and origins[i - 1] is not None else o for i, o in enumerate(origins)]
+
+
+def odd_texts():
+    rng = random.Random(25)
+    words = ["", "a", "é", "𝄞x", "\t", "\xa0", "e\u0301", "\r", "word", "longer-word"]
+    some = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 16))) for _ in range(60)]
+    return [*some, None, "", "\n", "\n\n\n", " ", "      x", "abc", "a\r\nb\r\n", "a b " * 2000, "a b\n" * 2000]
+
+
+def test_counts_of_labelled_documents(spark, tmp_path):
+    """Whole documents, odd ones too, without a shuffle in the plan that was run."""
+    found = registry.QUERIES["token_span_labels"](spark, documents(spark, tmp_path, odd_texts()))
+    want = {i: naive_labels(t) for i, t in enumerate(odd_texts()) if t is not None}
+    assert sorted(map(tuple, found.collect())) == [(i, *(x.count(v) for v in range(4)), hashlib.md5("".join(map(str, x)).encode()).hexdigest()) for i, x in want.items()]
+    assert "Exchange" not in plan(found)
+
+
 def test_blocks_of_lines(spark):
     df = spark.createDataFrame([([[i, i] for i in range(n)],) for n in (1, 9, 10, 11, 25)], "x array<array<int>>")
     for r in df.select("x", arrays.cut_every(F.col("x"), 10).alias("b")).collect():
