@@ -82,6 +82,15 @@ def test_counts_of_labelled_documents(spark, tmp_path):
     assert "Exchange" not in plan(found)
 
 
+def test_reasons_of_labelled_documents(spark, tmp_path):
+    """A reason or none for each document with a text, all kinds of them, without a shuffle in the plan that was run."""
+    found = registry.QUERIES["usable_files"](spark, documents(spark, tmp_path, odd_texts()))
+    labels = {i: set(naive_labels(t)) for i, t in enumerate(odd_texts()) if t is not None}
+    want = [(i, ("answer in a negative" if x & {0, 1} else "") if i % 2 else ("" if 0 in x else "no answer labelled")) for i, x in labels.items()]
+    assert sorted(map(tuple, found.collect())) == want and {(i % 2, e == "") for i, e in want} == {(0, True), (0, False), (1, True), (1, False)}
+    assert "Exchange" not in plan(found)
+
+
 def test_blocks_of_lines(spark):
     df = spark.createDataFrame([([[i, i] for i in range(n)],) for n in (1, 9, 10, 11, 25)], "x array<array<int>>")
     for r in df.select("x", arrays.cut_every(F.col("x"), 10).alias("b")).collect():
